@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import orc_tokens, packing
+from sumfold.llm import decontamination, orc_tokens, packing
 from sumfold.llm.common import scratch, table
 
 
@@ -12,10 +12,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = orc_tokens.write(table(spark, sf_dir, "documents"), scratch(spark, "orc_tokens"))
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op10_orc_tokens)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_packing, op8_decontamination, op10_orc_tokens)}
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op8_decontamination": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS win
+  FROM i, unnest(generate_series(1, greatest(1, len(w) - 12))) AS u(p) WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS win FROM d, ns, unnest(generate_series(1, len(w) - n + 1)) AS u(p)),
+m AS (SELECT doc_id, p, n, item_id FROM dw JOIN iw USING (n, win)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM m, unnest(generate_series(p, p + n - 1)) AS u(q) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)""",
+}
