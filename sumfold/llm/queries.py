@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, orc_tokens, packing
+from sumfold.llm import decontamination, orc_tokens, packing, warc_zip
 from sumfold.llm.common import scratch, table
 
 
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.report(warc_zip.read(warc_zip.write(table(spark, sf_dir, "pages"), scratch(spark, "wacz"))))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -21,11 +25,16 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op8_decontamination, op10_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op3_warc_zip, op5_packing, op8_decontamination, op10_orc_tokens)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op3_warc_zip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND f <> page_id THEN f END AS refers_to FROM x""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
