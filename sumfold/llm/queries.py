@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, orc_tokens, packing, warc_zip
+from sumfold.llm import decontamination, licenses, orc_tokens, packing, warc_zip
 from sumfold.llm.common import scratch, table
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_texts(spark), licenses.default_notices(spark))
+
+
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.report(warc_zip.read(warc_zip.write(table(spark, sf_dir, "pages"), scratch(spark, "wacz"))))
 
@@ -25,11 +29,12 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc_zip, op5_packing, op8_decontamination, op10_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_warc_zip, op5_packing, op8_decontamination, op10_orc_tokens)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_licenses": licenses.scan_sql(),
     "op3_warc_zip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM p)
