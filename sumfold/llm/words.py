@@ -68,9 +68,23 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         up, down = _power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, "u8")
-        np.cumsum(_WEIGHT[data] * up[: len(data)], out=total[1:])
-        self.hashes = mixed((total[self.ends] - total[self.starts]) * down[self.starts])
+        self._total = np.zeros(len(data) + 1, "u8")
+        np.cumsum(_WEIGHT[data] * up[: len(data)], out=self._total[1:])
+        self._down = down[self.starts]
+        self.lengths = self.ends - self.starts
+        self.hashes = self._hash(self.ends)
+
+    def _hash(self, ends: np.ndarray) -> np.ndarray:
+        return mixed((self._total[ends] - self._total[self.starts]) * self._down)
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """Hashes of each word's first ``n`` bytes (of all, if it has no more)."""
+        return self._hash(self.starts + np.minimum(n, self.lengths))
+
+    def byte(self, i: int) -> np.ndarray:
+        """The byte at ``i`` of each word, lowered; 0 past its end."""
+        at = np.minimum(self.starts + i, max(len(self.data) - 1, 0))
+        return np.where(i < self.lengths, _LOWER[self.data[at]], 0).astype("i8")
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of the ``k`` words from each word on, also across the ends of texts."""
