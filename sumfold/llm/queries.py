@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, fingerprints, licenses, orc_tokens, packing, toxicity, warc_zip
+from sumfold.llm import decontamination, fingerprints, licenses, orc_tokens, packing, quality, toxicity, warc_zip
 from sumfold.llm.common import scratch, table
 
 
@@ -16,6 +16,10 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.report(warc_zip.read(warc_zip.write(table(spark, sf_dir, "pages"), scratch(spark, "wacz"))))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -37,7 +41,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_warc_zip, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op10_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op10_orc_tokens)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
