@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, fingerprints, licenses, orc_tokens, packing, quality, toxicity, warc_zip
+from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, orc_tokens, packing, quality, toxicity, warc_zip
 from sumfold.llm.common import scratch, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.default_texts(spark), licenses.default_notices(spark))
 
@@ -41,7 +45,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op10_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op10_orc_tokens)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

@@ -37,8 +37,12 @@ def alphabet(other: str) -> np.ndarray:
 
 #: Words are runs of a-z, 0-9 and all beyond ASCII, after A-Z are lowered.
 PLAIN = alphabet("".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])))
+#: Weights that tell capitals apart, two kinds.
+EXACT = tuple(mixed((np.arange(256, dtype="u8") + _ONE) * np.uint64(c)) for c in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 #: Words are what white space parts.
 SPACED = alphabet(" \t\n\v\f\r")
+#: Words are lines that are not empty.
+LINES = alphabet("\n")
 
 _powers = np.ones((2, 1), "u8")
 
@@ -56,7 +60,7 @@ def _power_tables(n: int) -> np.ndarray:
 class Words:
     """Words of consecutive texts: byte ranges, hashes, and the range of words of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, weight: np.ndarray = _WEIGHT):
         self.data, self.offsets = data, offsets
         inside = table[data]
         begin, end = inside.copy(), inside.copy()
@@ -69,7 +73,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)
         up, down = _power_tables(len(data) + 1)
         self._total = np.zeros(len(data) + 1, "u8")
-        np.cumsum(_WEIGHT[data] * up[: len(data)], out=self._total[1:])
+        np.cumsum(weight[data] * up[: len(data)], out=self._total[1:])
         self._down = down[self.starts]
         self.lengths = self.ends - self.starts
         self.hashes = self._hash(self.ends)
