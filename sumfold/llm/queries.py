@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, orc_tokens, packing, quality, toxicity, warc_zip
+from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, toxicity, warc_zip
 from sumfold.llm.common import scratch, table
 
 
@@ -40,12 +40,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = ngram_join.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = orc_tokens.write(table(spark, sf_dir, "documents"), scratch(spark, "orc_tokens"))
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op10_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op9_ngram_join, op10_orc_tokens)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
