@@ -128,19 +128,49 @@ class Fingerprints:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, broadcast_words: int = 2_000_000) -> DataFrame:
     """A row of ``RESULT`` for each document. A word is hit if it lies in a passage of an item."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= 2 * broadcast_words:  # a word and what parts it from the next are two characters at least
-        known = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    items = _items(benchmark)
+    known = _bounded(items, broadcast_words)
+    if known is None:
+        return _joined(docs, items, window, k)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints(known.value, window, k)
+        for batch, data, offsets in slices(batches, 1):
+            yield prints.rows(batch.column(0).to_pylist(), data, offsets)
+
+    return texts(docs).mapInArrow(scan, RESULT)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, broadcast_words: int = 2_000_000) -> DataFrame:
+    """``docs``, all its columns, without contaminated documents."""
+    items = _items(benchmark)
+    known = _bounded(items, broadcast_words)
+    if known is None:
+        keyed = docs.withColumn("_clean_row", F.sha2(F.coalesce("text", F.lit("")), 256))
+        # documents of one text are contaminated or not alike
+        once = keyed.select("text", "_clean_row").dropDuplicates(["_clean_row"]).withColumn("doc_id", F.xxhash64("_clean_row"))
+        bad = _joined(once, items, window, k).where("contaminated").select(F.col("doc_id").alias("_clean_bad"))
+        return keyed.join(bad, F.xxhash64("_clean_row") == F.col("_clean_bad"), "left_anti").drop("_clean_row")
+    n = len(docs.columns)
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            prints = Fingerprints(known.value, window, k)
-            for batch, data, offsets in slices(batches, 1):
-                yield prints.rows(batch.column(0).to_pylist(), data, offsets)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints(known.value, window, k)
+        for batch, data, offsets in slices(batches, n):
+            bad = prints.rows([None] * batch.num_rows, data, offsets).column(5)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.compute.invert(bad))
 
-        return texts(docs).mapInArrow(scan, RESULT)
-    return _joined(docs, items, window, k)
+    return docs.withColumn("_clean_text", F.coalesce("text", F.lit(""))).mapInArrow(keep, docs.schema)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+
+
+def _bounded(items: DataFrame, words: int):
+    """The items as a broadcast, or None if they may have more than ``words`` words."""
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    # a word and what parts it from the next are two characters at least
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]) if size <= 2 * words else None
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
