@@ -1 +1 @@
-
+"""File formats read and written."""

@@ -1 +1 @@
-
+"""Factors kept up to date over a stream."""
