@@ -182,9 +182,9 @@ class Factor:
         self.df.orderBy(*sorted(self.label)).show(n, truncate=False)
 
 
-def combine_all(factors: Iterable[Factor]) -> Factor:
+def combine_all(factors: Iterable[Any]) -> Any:
     """The product of one factor or more."""
-    return reduce(Factor.combine, factors)
+    return reduce(lambda a, b: a.combine(b), factors)
 
 
 def show_domain(domain: Collection[str]) -> str:

@@ -165,8 +165,8 @@ class Matrix:
         s = self.semiring
         column = self.df.where(F.col("col") == F.lit(k)).select("row", *s.payload)
         row = self.df.where(F.col("row") == F.lit(k)).select("col", *[F.col(p).alias(f"_r{p}") for p in s.payload])
-        loop = self.df.where((F.col("row") == F.lit(k)) & (F.col("col") == F.lit(k))).agg(*[F.max(p).alias(p) for p in s.payload])
-        star = loop.select(*[F.coalesce(x.cast(t), o).alias(f"_s{p}") for x, t, o, p in zip(s.star([F.col(p) for p in s.payload]), s.types, s.literal(s.one), s.payload)])
+        loop = self.df.where((F.col("row") == F.lit(k)) & (F.col("col") == F.lit(k))).agg(*[F.coalesce(F.max(p), z).alias(p) for p, z in zip(s.payload, s.literal(s.zero))])
+        star = loop.select(*[x.cast(t).alias(f"_s{p}") for x, t, p in zip(s.star([F.col(p) for p in s.payload]), s.types, s.payload)])
         # one row
         column = column.crossJoin(F.broadcast(star))
         first = s.mul([F.col(p) for p in s.payload], [F.col(f"_s{p}") for p in s.payload])
