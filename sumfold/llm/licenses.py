@@ -23,12 +23,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PATTERNS = [
     (r"^[^a-z0-9\n]*((portions )?copyright[ \t]*(\(c\)|©|:|by |[0-9]{4}|<|\[)|\(c\)[ \t]|©)[^\n]*", ""),
     (r"^[ \t]*([0-9]{1,2}[.)]|\([a-z0-9]{1,2}\)|[*-])[ \t]+", ""),
-    (r"[^a-z0-9]+", " "),
+    (r"[^a-z0-9\n]+", " "),
+    (r"\n", " \n "),
 ]
 
 # Spellings to be treated as equal, the second for the first.
 SPELLINGS = [
-    (" all rights reserved ", " "),
     (" acknowledgement", " acknowledgment"),
     (" analogue", " analog"),
     (" analyse", " analyze"),
@@ -38,7 +38,6 @@ SPELLINGS = [
     (" catalogue", " catalog"),
     (" categoris", " categoriz"),
     (" centre", " center"),
-    (" copyright holder", " copyright owner"),
     (" emphasis", " emphasiz"),
     (" favour", " favor"),
     (" fulfil ", " fulfill "),
@@ -52,44 +51,75 @@ SPELLINGS = [
     (" maximis", " maximiz"),
     (" modelled", " modeled"),
     (" modelling", " modeling"),
-    (" non commercial", " noncommercial"),
-    (" non infringement", " noninfringement"),
     (" offence", " offense"),
     (" optimis", " optimiz"),
     (" organis", " organiz"),
-    (" per cent", " percent"),
     (" practise", " practice"),
     (" programme ", " program "),
     (" realis", " realiz"),
     (" recognis", " recogniz"),
     (" signalling", " signaling"),
-    (" sub license", " sublicense"),
-    (" third part", " thirdpart"),
     (" utilis", " utiliz"),
     (" whilst ", " while "),
 ]
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
+# The same for phrases, within a line first, then over the ends of lines.
+PHRASES = [
+    (" all rights reserved ", " "),
+    (" copyright holder", " copyright owner"),
+    (" non commercial", " noncommercial"),
+    (" non infringement", " noninfringement"),
+    (" per cent", " percent"),
+    (" sub license", " sublicense"),
+    (" third part", " thirdpart"),
+]
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of a text's lines, parted by line feeds, spaces around each."""
     x = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     for pattern, by in PATTERNS:
         x = F.regexp_replace(x, "(?md)" + pattern, by)
     x = F.concat(F.lit(" "), x, F.lit(" "))
-    for one, other in SPELLINGS:
+    for one, other in SPELLINGS + PHRASES:
         x = F.replace(x, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(x, " +", " "))
+    return x
 
 
-def canonical_sql(text: str) -> str:
-    """The same in DuckDB's SQL."""
+def flat(lines: Column) -> Column:
+    """The canonical form of a text from that of its lines."""
+    x = F.regexp_replace(lines, "[ \n]+", " ")
+    for one, other in PHRASES:
+        x = F.replace(x, F.lit(one), F.lit(other))
+    return F.trim(x)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of a text."""
+    return flat(canonical_lines(text))
+
+
+def _lines_sql(text: str) -> str:
     x = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
     for pattern, by in PATTERNS:
-        x = f"regexp_replace({x}, '(?m){pattern}', '{by}', 'g')"
+        x = f"regexp_replace({x}, '(?m){pattern}', '{by}', 'g')" if pattern != "\\n" else f"replace({x}, chr(10), ' ' || chr(10) || ' ')"
     x = f"(' ' || {x} || ' ')"
-    for one, other in SPELLINGS:
+    for one, other in SPELLINGS + PHRASES:
+        x = f"replace({x}, '{one}', '{other}')"
+    return x
+
+
+def _flat_sql(lines: str) -> str:
+    x = f"regexp_replace({lines}, '[ \\n]+', ' ', 'g')"
+    for one, other in PHRASES:
         x = f"replace({x}, '{one}', '{other}')"
-    return f"trim(regexp_replace({x}, ' +', ' ', 'g'))"
+    return f"trim({x})"
+
+
+def canonical_sql(text: str) -> str:
+    """``canonical`` in DuckDB's SQL."""
+    return _flat_sql(_lines_sql(text))
 
 
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -101,15 +131,21 @@ def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
 def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame) -> DataFrame:
     """Per document: canonical digest, the licence whose text it is, the licences its lines declare."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    # equal (doc_id, digest) may have different lines: a digest of the text keeps them apart
-    rows = rows.withColumn("row", F.sha2("text", 256))
-    lines = rows.select("doc_id", "row", F.explode(F.split("text", "\n")).alias("line"))
-    declared = lines.select("doc_id", "row", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(notices, "digest")
-    declared = declared.groupBy("doc_id", "row").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    declared = declared.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "notices")
-    out = rows.drop("text").join(texts, "digest", "left").join(declared, F.expr("doc_id <=> d AND row = r"), "left")
-    return out.select("doc_id", F.col("digest").alias("canonical_sha256"), "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    # a digest of the text keeps documents of one id apart; equal rows are counted
+    rows = rows.select("doc_id", F.sha2("text", 256).alias("row"), canonical_lines(F.col("text")).alias("lines"))
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.sha2(flat(F.col("lines")), 256).alias("digest")))
+    # flat() of a line: its ends may hold a phrase's space
+    lines = F.transform(F.split("lines", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(flat(x), 256).alias("digest")))
+    parts = rows.select("doc_id", "row", F.explode(F.concat(whole, lines)).alias("part")).select("doc_id", "row", "part.*")
+    listed = texts.select("digest", "license", F.lit(True).alias("whole")).union(notices.select("digest", "license", F.lit(False).alias("whole")))
+    found = parts.join(listed, ["digest", "whole"], "left").where("whole OR license IS NOT NULL")
+    out = found.groupBy("doc_id", "row").agg(
+        F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
+        F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),
+        F.count(F.when(F.col("whole"), 1)).alias("n"),
+    )
+    return out.select("doc_id", "canonical_sha256", "license", "notices", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
 
 
 def default_texts(spark: SparkSession) -> DataFrame:
@@ -128,9 +164,9 @@ def scan_sql() -> str:
     texts = [(i, t) for i, _, t in TEXTS] + [(i, f"{title}\n\n{t}") for i, title, t in TEXTS]
     return f"""
 WITH t AS {table(texts)}, n AS {table(NOTICES)},
-d AS (SELECT doc_id, coalesce(text, '') AS text, sha256({canonical_sql('text')}) AS digest FROM documents),
-l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line FROM d),
-m AS (SELECT DISTINCT doc_id, text, license FROM (SELECT doc_id, text, sha256({canonical_sql('line')}) AS digest FROM l) JOIN n USING (digest)),
+d AS (SELECT *, sha256({_flat_sql('lines')}) AS digest FROM (SELECT doc_id, coalesce(text, '') AS text, {_lines_sql('text')} AS lines FROM documents)),
+l AS (SELECT doc_id, text, unnest(string_split(lines, chr(10))) AS line FROM d),
+m AS (SELECT DISTINCT doc_id, text, license FROM (SELECT doc_id, text, sha256({_flat_sql('line')}) AS digest FROM l) JOIN n USING (digest)),
 g AS (SELECT doc_id, text, string_agg(license, ',' ORDER BY license) AS notices FROM m GROUP BY doc_id, text)
 SELECT d.doc_id, d.digest AS canonical_sha256, t.license, coalesce(g.notices, '') AS notices
 FROM d LEFT JOIN t ON t.digest = d.digest LEFT JOIN g ON g.doc_id = d.doc_id AND g.text = d.text"""
