@@ -36,7 +36,7 @@ def sketches(texts_: list[str], shingle: int, scale: int) -> list[np.ndarray]:
     grams = w.grams(shingle)
     at, doc = w.gram_docs(shingle)
     h = grams[at]
-    bound = np.uint64((1 << 64) // scale)
+    bound = np.uint64(min((1 << 64) // scale, (1 << 64) - 1))
     low = h < bound
     order = np.lexsort((h[low], doc[low]))
     hs, ds = h[low][order], doc[low][order]

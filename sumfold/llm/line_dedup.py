@@ -156,8 +156,8 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` without later copies of repeated runs, and ``n_lines``, ``n_removed``: lines not empty, and those of them deleted."""
     numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
     later = later_copies(numbered.select(F.col(_ROW).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), min_words)
-    later = later.groupBy("row").agg(F.collect_list(F.struct("ln", "m")).alias("_line_dedup_runs"))
-    both = numbered.join(later, F.col(_ROW) == F.col("row"), "left").drop(_ROW, "row")
+    later = later.groupBy(F.col("row").alias("_line_dedup_later")).agg(F.collect_list(F.struct("ln", "m")).alias("_line_dedup_runs"))
+    both = numbered.join(later, F.col(_ROW) == F.col("_line_dedup_later"), "left").drop(_ROW, "_line_dedup_later")
     columns = docs.columns
     text_at, has_size = columns.index("text"), "n_chars" in columns
 

@@ -76,6 +76,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         x[:, :_N_FINE] = np.bincount(at * _N_FINE + _FINE[data], minlength=n * _N_FINE).reshape(n, -1) / scale
         kind = _KIND[data]
         pair = at[:-1] * _KINDS**2 + kind[:-1] * _KINDS + kind[1:]
+        inner = np.ones(len(data) + 1, bool)
+        inner[offsets] = False  # a pair lies in one text
+        pair = pair[inner[1 : len(data)]]
         x[:, _N_FINE : _N_FINE + _KINDS**2] = np.bincount(pair, minlength=n * _KINDS**2).reshape(n, -1) / scale
     if len(w.starts):
         in_passage = np.repeat(np.arange(n), np.diff(np.append(first_word, len(w.starts))))
@@ -90,7 +93,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         g = w.grams(3)
         more = [np.log1p(count), share(w.lengths.astype("f8")) / 8, np.sqrt(share(w.lengths.astype("f8") ** 2)) / 8, share(same)]
         more += [share(new(h ^ mixed(in_passage.astype("u8") + np.uint64(1))).astype("f8")), share(new(h ^ salt).astype("f8"))]
-        more += [share(new(g ^ salt[: len(g)]).astype("f8")) if len(g) else np.zeros(n)]
+        one = in_doc[2:] == in_doc[: len(g)]  # three words of one text
+        more += [share((new(g ^ salt[: len(g)]) & one).astype("f8")) if len(g) else np.zeros(n)]
         x[:, -7:] = np.stack(more, 1)
     return x, bounds
 

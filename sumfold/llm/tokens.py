@@ -47,7 +47,7 @@ class Encoder:
         self.alphabet = _byte_alphabet()
         self.marks = [t["content"] for t in spec.get("added_tokens") or []]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.kind = None
+        self.kind, self.settled = None, set()
         if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.kind = "spaced"
             parts = " ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -73,9 +73,16 @@ class Encoder:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.wide(text)
+            return self.wide(text) if self._settled(text) else None
         return self.narrow(text)
 
+    def _settled(self, text: str) -> bool:
+        """Whether all characters have had their general category for long, so that libraries agree on it."""
+        new = set(text) - self.settled
+        known = {c for c in new if (x := unicodedata.ucd_3_2_0.category(c)) != "Cn" and x[0] == unicodedata.category(c)[0]}
+        self.settled |= known
+        return len(known) == len(new)
+
     def _ids_of(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
