@@ -9,8 +9,8 @@ fragments, and each fragment holds its part of all members' sets. There, without
 
 The global order of n-grams is by how many members share them (in powers of two), then by hash.
 Members that link have an n-gram in common among the first of each, so candidates meet at
-these. They are not all paired: members at an n-gram are first compared with one of them, the same
-at all its n-grams, and components are drawn; after ``rounds`` of that, pairs of members in different components
+these. They are not all paired: members at an n-gram are first compared with ``pivots`` of them, the same
+ones at all their n-grams, and components are drawn; after ``rounds`` of that, pairs of members in different components
 are compared one by one, around all but the largest component at an n-gram. Two members
 of one component need not be compared, so no link between different components is
 lost, and groups of near copies cost about as many comparisons as they have members.
@@ -191,7 +191,7 @@ def _may_link(percent: int) -> Column:
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & enough
 
 
-def compared(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def compared(pairs: DataFrame, segments: DataFrame, percent: int, fragments: int) -> DataFrame:
     """Those of ``pairs`` (a, b, na, nb) that link: partial overlaps per fragment, summed per pair."""
     spark = pairs.sparkSession
     blocks = max(1, -(-pairs.count() // _BLOCK))
@@ -219,11 +219,12 @@ def compared(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
     placed = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(blocks)))
     chunks = written(placed.mapInArrow(chunk, "chunk string, block long, a binary, b binary, na binary, nb binary"), "chunks")
-    needed = placed.select("block", F.col("a").alias("r")).union(placed.select("block", "b")).distinct()
-    held = segments.join(needed, F.col("ref") == F.col("r")).select("fragment", "block", "ref", "hashes")
-    fragments = segments.select("fragment").distinct()
-    # the fragments are as many as tables of them, each as large as a task
-    sent = chunks.select("chunk", "block", "a", "b").join(F.broadcast(fragments.groupBy().agg(F.collect_list("fragment").alias("all")))).withColumn("fragment", F.explode("all")).drop("all")
+    if blocks == 1:
+        held = segments.select("fragment", F.lit(0).cast("long").alias("block"), "ref", "hashes")
+    else:  # each block has the members it compares
+        needed = placed.select("block", F.col("a").alias("r")).union(placed.select("block", "b")).distinct()
+        held = segments.join(needed, F.col("ref") == F.col("r")).select("fragment", "block", "ref", "hashes")
+    sent = chunks.select("chunk", "block", "a", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fragments - 1).cast("long"))).alias("fragment"))
 
     def overlap(key: tuple, segs: pa.Table, sent: pa.Table) -> pa.Table:
         refs = np.asarray(segs["ref"].combine_chunks()) if segs.num_rows else np.zeros(0, "i8")
@@ -274,7 +275,7 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(pick("ref", "other").alias("a"), pick("other", "ref").alias("b"), pick("n", "m").alias("na"), pick("m", "n").alias("nb")).distinct()
 
 
-def groups(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 3, fragment_size: int = 2_000_000) -> DataFrame:
+def groups(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 2, pivots: int = 8, fragment_size: int = 1_500_000, least_fragments: int = 96) -> DataFrame:
     """(row, doc_id, n_shingles, component_id, stays): ``docs`` has row, doc_id, text.
 
     ``component_id`` is the smallest ``doc_id`` that links of at least ``percent`` per cent lead to; ``stays`` marks one row of
@@ -283,7 +284,7 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 3, frag
     docs = docs.select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = written(members(docs, n), "members")
     total = found.agg(F.sum("n")).first()[0] or 0
-    fragments = max(8, -(-total // fragment_size))
+    fragments = max(least_fragments, -(-total // fragment_size))
     parts = written(shared(fragmented(docs, n, fragments)), "shared")
     sizes = found.where("n > 0").select("ref", "n").distinct()
     # partial overlaps with anyone, summed per member
@@ -293,35 +294,31 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 75, rounds: int = 3, frag
     rows = written(rows, "postings")
     meeting = rows.groupBy("token").count().where("count > 1").select("token")
     rows = written(rows.join(meeting, "token"), "postings")
-    links, tested, named = None, None, None
+    links, named = None, None
 
     for turn in range(rounds + 1):
-        at = rows.withColumn("component", F.col("ref")) if named is None else rows.join(named, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
-        if turn:
+        if named is None:
+            at = rows.withColumn("component", F.col("ref"))
+        else:
+            at = rows.join(named, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref")).drop("node")
             at = written(at, "postings")
         if turn < rounds:
-            # one member stands for those at an n-gram, the same one wherever it may
-            one = F.min(F.struct(F.xxhash64("ref", F.lit(turn)).alias("_"), F.col("ref").alias("other"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("theirs")))
-            pivots = at.groupBy("token").agg(one.alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "p.other", "p.m", "p.left", "p.theirs")
-            met = at.join(pivots, "token")
+            # a few members stand for those at an n-gram, the same ones wherever they may
+            one = lambda i: F.min(F.struct(F.xxhash64("ref", F.lit(turn * pivots + i)).alias("_"), F.col("ref").alias("other"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("theirs")))  # noqa: E731, B023
+            few = at.groupBy("token").agg(*[one(i).alias(f"p{i}") for i in range(pivots)], F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            few = few.select("token", F.array_distinct(F.array(*[F.struct(f"p{i}.other", f"p{i}.m", f"p{i}.left", f"p{i}.theirs") for i in range(pivots)])).alias("p"))
+            met = at.join(few, "token").select("*", F.inline("p")).drop("p")
         else:
             # all that is left, around the smaller components at an n-gram
             sized = at.groupBy("token", "component").agg(F.count("*").alias("size"))
             largest = sized.groupBy("token").agg(F.max(F.struct("size", "component")).alias("x"), F.count("*").alias("k")).where("k > 1").select("token", F.col("x.component").alias("most"))
             small = at.join(largest, "token").where("component <> most").select("token", F.col("ref").alias("other"), F.col("n").alias("m"), F.col("rest").alias("left"), F.col("component").alias("theirs"))
             met = at.join(small, "token")
-        pairs = _pairs(met.where((F.col("component") != F.col("theirs")) & _may_link(percent)).select("ref", "n", "other", "m"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(_pairs(met.where((F.col("component") != F.col("theirs")) & _may_link(percent)).select("ref", "n", "other", "m")), "pairs")
         if pairs.isEmpty():
-            if turn < rounds and turn:
-                continue
-            break
-        new = compared(pairs, segments, percent)
-        links = written(new if links is None else links.union(new), "linked")
-        pairs = pairs.select("a", "b")
-        tested = pairs if tested is None else tested.union(pairs)
+            continue
+        new = written(compared(pairs, segments, percent, fragments), "linked")
+        links = new if links is None else links.union(new)
         named = written(components(links), "named")
 
     at = found.withColumn("component", F.col("ref")) if named is None else found.join(named, F.col("ref") == F.col("node"), "left").withColumn("component", F.coalesce("component", "ref"))
@@ -342,5 +339,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all its columns, without but one document of each component."""
     row = "_ngram_join_row"
     named = docs.withColumn(row, F.monotonically_increasing_id())
-    stays = groups(named.select(F.col(row).alias("row"), "doc_id", "text"), **options).where("stays").select("row")
-    return named.join(stays, F.col(row) == F.col("row"), "left_semi").drop(row)
+    stays = groups(named.select(F.col(row).alias("row"), "doc_id", "text"), **options).where("stays").select(F.col("row").alias("_ngram_join_stays"))
+    return named.join(stays, F.col(row) == F.col("_ngram_join_stays"), "left_semi").drop(row)
