@@ -4,11 +4,12 @@ A word is spelled byte by byte, up to ``depth`` bytes or its end; the history of
 word so far. The models share what smooths them: a class's discounted counts back off to the
 counts of both classes together, and these to continuation counts, the number of different histories
 in which a byte has followed the last two. So rare words, of which a class says
-nothing by itself, weigh the same in both. What a document says twice counts once, in models and scores.
-A document's score is the difference of its two log-likelihoods by its number of different words, turned
+nothing by itself, weigh the same in both. The models count each different word of a document, so a
+prefix as often as different words run through it; scores count all words, also repeated ones.
+A document's score is the difference of its two log-likelihoods by its number of words, turned
 into a probability by a logistic curve.
 
-The difference is a sum over the document's prefixes of words, so the models come down to one
+The difference is a sum over the prefixes of all the document's words, so the models come down to one
 weight for each prefix; those of less than ``least_weight``, or by which the two models gain less than
 ``least_gain`` over the shared one (a likelihood ratio), are left out as noise, at every size alike. Tables of up to ``block`` weights go to the tasks
 at once; more are summed block by block, each over all documents.
@@ -78,11 +79,13 @@ def _counted(rows: DataFrame, depth: int) -> DataFrame:
             w = Words(data, offsets, PLAIN)
             toxic = np.repeat(np.asarray(batch.column(1)).astype("i8"), np.diff(w.bounds))
             doc = np.repeat(mixed(np.arange(1, len(w.bounds), dtype="u8")), np.diff(w.bounds))
-            for of, q, sx in _nodes(w, depth):
-                # once in each document: what one document repeats says no more
-                once = np.unique(_key(q, sx & 255) ^ doc[of], return_index=True)[1]
-                of, q, sx = of[once], q[once], sx[once]
-                held.append((q, sx, toxic[of], 1 - toxic[of]))
+            # the different words of each document; each spelling once, with its documents of either class
+            keep = np.unique(w.hashes ^ doc, return_index=True)[1]
+            _, first, which = np.unique(w.hashes[keep], return_index=True, return_inverse=True)
+            ones = np.bincount(which, toxic[keep], len(first)).astype("i8")
+            zeros = np.bincount(which, minlength=len(first)) - ones
+            for of, q, sx in _nodes(w.only(keep[first]), depth):
+                held.append((q, sx, ones[of], zeros[of]))
                 size += len(q)
                 if size > _HELD:
                     held, size = [added()], 0
@@ -127,13 +130,12 @@ class _Table:
         self.mask = np.uint64(len(self.bits) - 1)
         self.bits[keys & self.mask] = True
 
-    def add(self, p: np.ndarray, doc: np.ndarray, to: np.ndarray) -> None:
-        """Add the weights of ``p`` to their documents, each once in a document."""
+    def add(self, p: np.ndarray, of: np.ndarray, to: np.ndarray) -> None:
+        """Add the weights of ``p`` to their words, of which each is named once."""
         maybe = np.flatnonzero(self.bits[p & self.mask])
         at = np.minimum(np.searchsorted(self.keys, p[maybe]), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == p[maybe])
-        pairs = np.unique(doc[maybe[hit]] * len(self.keys) + at[hit])
-        np.add.at(to, pairs // len(self.keys), self.values[pairs % len(self.keys)])
+        to[of[maybe[hit]]] += self.values[at[hit]]
 
 
 def differences(docs: DataFrame, model: DataFrame, depth: int, block: int) -> DataFrame:
@@ -153,12 +155,12 @@ def differences(docs: DataFrame, model: DataFrame, depth: int, block: int) -> Da
                 w = Words(data, offsets, PLAIN)
                 n = np.diff(w.bounds)
                 doc = np.repeat(np.arange(len(n)), n)
-                total = np.zeros(len(n))
-                for of, q, sx in _nodes(w, depth) if lookup else ():
-                    lookup.add(_key(q, sx & 255), doc[of], total)
-                # different words
-                first = np.unique(w.hashes ^ mixed(doc.astype("u8") + np.uint64(1)), return_index=True)[1]
-                n = np.bincount(doc[first], minlength=len(n))
+                # each spelling once, for all the words spelled so
+                _, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+                by_word = np.zeros(len(first))
+                for of, q, sx in _nodes(w.only(first), depth) if lookup else ():
+                    lookup.add(_key(q, sx & 255), of, by_word)
+                total = np.bincount(doc, by_word[which], len(n))
                 part = pa.array(total / np.maximum(n, 1))
                 names = batch.schema.names
                 if names[-1] == "difference":

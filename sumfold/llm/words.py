@@ -6,6 +6,7 @@ Hashes decide what is looked at; whoever needs certainty compares the words them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,12 @@ class Words:
         at = np.minimum(self.starts + i, max(len(self.data) - 1, 0))
         return np.where(i < self.lengths, _LOWER[self.data[at]], 0).astype("i8")
 
+    def only(self, at: np.ndarray) -> "Words":
+        """The words at these places by themselves: spellings and hashes; ``bounds`` no longer hold."""
+        w = copy(self)
+        w.starts, w.ends, w.lengths, w.hashes, w._down = (a[at] for a in (self.starts, self.ends, self.lengths, self.hashes, self._down))
+        return w
+
     def grams(self, k: int) -> np.ndarray:
         """Hashes of the ``k`` words from each word on, also across the ends of texts."""
         n = len(self.hashes) - k + 1

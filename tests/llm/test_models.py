@@ -70,6 +70,15 @@ def test_toxicity_cases(docs, spark):
     assert 1 / (1 + np.exp(-(a + b))) == pytest.approx(0.99, abs=0.01)
 
 
+def test_toxicity_counts_every_word_through_a_prefix(docs, spark):
+    rows = spark.createDataFrame([("zor zorish zor ok", 1), ("zorer ok", 0)], "text string, toxic int")
+    counts = toxicity._counted(rows, 10).where("q = 0 AND sx = 122").first()
+    assert (counts["n1"], counts["n0"]) == (2, 1)
+    model = spark.createDataFrame([(0, 122, 4.0)], "q long, x long, weight double")
+    found = toxicity.differences(docs("zor ok ok ok", "zor zorish zor ok", "zor zor", "ok", "").select("text", "doc_id"), model, 10, 100)
+    assert [x["difference"] for x in found.orderBy("doc_id").collect()] == pytest.approx([1.0, 3.0, 4.0, 0.0, 0.0])
+
+
 def test_folds(spark):
     import zlib
 
