@@ -209,6 +209,12 @@ def dft_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("i", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
+def dft_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, zero-padded to the next power of two."""
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    return dft.padded(events)
+
+
 def frame_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for f in star(spark, sf_dir)[1:4]:
@@ -260,6 +266,7 @@ QUERIES = {
         graph_asymmetric_edges,
         graph_components,
         dft_events,
+        dft_all_events,
         frame_lengths,
         elimination_stats,
         fusion_lineitem_parts,

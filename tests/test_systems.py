@@ -215,3 +215,16 @@ def test_windowed_factor_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["__value"] for r in spark.sql("SELECT * FROM windows").collect()) == [1, 2]
+
+
+def test_dft_of_all_events_zero_padded(spark, tmp_path):
+    from sumfold.queries import dft_all_events
+
+    numbers = [math.sin(7 * i) * 100 + i % 13 for i in range(100)]
+    spark.createDataFrame(list(enumerate(numbers)), "event_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    rows = dft_all_events(spark, str(tmp_path)).orderBy("i").collect()
+    assert [r["i"] for r in rows] == list(range(128))
+    assert [complex(r["re"], r["im"]) for r in rows] == pytest.approx(list(np.fft.fft(numbers, 128)), abs=1e-8)
+    for bad in ([], [(-1, 1.0, 0.0)], [(None, 1.0, 0.0)]):
+        with pytest.raises(ValueError):
+            dft.padded(spark.createDataFrame(bad, "i bigint, re double, im double"))
