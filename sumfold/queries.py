@@ -198,8 +198,8 @@ def graph_asymmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and suppliers, joined by lines of one piece."""
-    lines = _read(spark, sf_dir, "lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.lit(1.0).alias("weight"))
+    """Parts and suppliers, joined by lines."""
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst"), F.lit(1.0).alias("weight"))
     return Digraph.of(lines).components()
 
 

@@ -228,3 +228,12 @@ def test_dft_of_all_events_zero_padded(spark, tmp_path):
     for bad in ([], [(-1, 1.0, 0.0)], [(None, 1.0, 0.0)]):
         with pytest.raises(ValueError):
             dft.padded(spark.createDataFrame(bad, "i bigint, re double, im double"))
+
+
+def test_components_of_all_lines(spark, tmp_path):
+    from sumfold.queries import graph_components
+
+    lines = [(1, 1, 1.0), (2, 1, 5.0), (3, 2, 7.0)]
+    spark.createDataFrame(lines, "l_partkey bigint, l_suppkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = graph_components(spark, str(tmp_path)).collect()
+    assert {r["id"]: r["component"] for r in rows} == {1: -2, 2: -2, -2: -2, 3: -3, -3: -3}
