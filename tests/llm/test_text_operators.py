@@ -165,8 +165,10 @@ def expected_groups(rows):
     return [(len(s), first[g]) for s, g in zip(sets, group)]
 
 
+@pytest.mark.parametrize("share", [1, 100])
 @pytest.mark.parametrize("seed", range(2))
-def test_groups(docs, seed):
+def test_groups(docs, monkeypatch, seed, share):
+    monkeypatch.setattr(ngram_join, "_FEW", 2)
     r = random.Random(seed)
     texts = []
     for _ in range(5):
@@ -183,7 +185,7 @@ def test_groups(docs, seed):
     texts += [None, "", " \n", "short", "Short", "a b c d", "a b c d e", "short one"]
     r.shuffle(texts)
     rows = list(enumerate(texts))
-    found = ngram_join.groups(ngram_join.numbered(docs(*rows)), fragment_size=200, least_fragments=8, pivots=2).collect()
+    found = ngram_join.groups(ngram_join.numbered(docs(*rows)), fragment_size=200, pivots=1, block=3, frequent_share=share).collect()
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == {i: e for (i, _), e in zip(rows, expected_groups(rows))}
     kept = ngram_join.one_of_each(docs(*rows, extra=True)).collect()
     expected = {i for (i, t), (n, c) in zip(rows, expected_groups(rows)) if c == i or not n}
