@@ -1,24 +1,31 @@
-"""Toxicity by two Kneser-Ney models of spelling, one of toxic and one of ordinary documents.
-
-A word is spelled byte by byte, up to ``depth`` bytes or its end; the history of a byte is the
-word so far. The models share what smooths them: a class's discounted counts back off to the
-counts of both classes together, and these to continuation counts, the number of different histories
-in which a byte has followed the last two. So rare words, of which a class says
-nothing by itself, weigh the same in both. The models count each different word of a document, so a
-prefix as often as different words run through it; scores count all words, also repeated ones.
-A document's score is the difference of its two log-likelihoods by its number of words, turned
-into a probability by a logistic curve.
-
-The difference is a sum over the prefixes of all the document's words, so the models come down to one
-weight for each prefix; those of less than ``least_weight``, or by which the two models gain less than
-``least_gain`` over the shared one (a likelihood ratio), are left out as noise, at every size alike. Tables of up to ``block`` weights go to the tasks
-at once; more are summed block by block, each over all documents.
-
-All labelled rows of the training part are counted: four fifths make the models, one fifth the
-curve. Defined cases: null and empty texts have a difference of 0; rows of ``labels`` that are null,
+"""Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
+
+A word is spelled byte by byte to its end. The history of a byte is the word so far, or the last ``depth`` bytes of a longer one.
+Both models back off to what they share. With ``n`` a history's or continuation's count in a class or in both, ``t`` its number
+of different continuations, ``d`` the discount and ``m`` the strength:
+
+* lowest, by the last two bytes ``s``: ``P(x|s) = (max(c - d, 0) + d t(s) / 257) / c(s)``, where ``c`` counts different histories that end
+  in ``s`` and go on with ``x`` (continuation counts), 1 / 257 where ``s`` was never met;
+* shared, both classes together: ``P(x|h) = (max(n - d, 0) + d t(h) P(x|s)) / n(h)``, the lowest where ``h`` was never met;
+* of a class: ``P_c(x|h) = (max(n_c - d, 0) + (d t_c(h) + m) P(x|h)) / (n_c(h) + m)``.
+
+So rare expressions, of which a class says little by itself, weigh about the same in both, and nothing is pruned. A
+document's different words are counted once each, in the models and in ``evidence``: a toxic document is mostly ordinary words, so its
+words come from the toxic model by ``share`` and else from the ordinary one, and each adds
+``log(1 - share + share P_1(w) / P_0(w))``; the sum is divided by the square root of the number of the document's words, and a
+logistic curve turns it into a score. ``toxic_nats`` and ``ordinary_nats`` are the two models' log-likelihoods of all words
+of the document, repeated ones too, by their number.
+
+All labelled rows of the training part are counted. The curve is fitted to the evidence of a fifth of them, by models of the other four
+fifths; documents are scored by models of all. Models of up to ``table``
+continuations go to the tasks as sorted arrays; larger ones stay tables, and the different words of the documents are
+joined with them and their sums with the documents: keys move, texts do not.
+
+Defined cases: null and empty texts have no evidence and likelihoods of 0; rows of ``labels`` that are null,
 or name no document, teach nothing; several labels of a document all count; a document that
 stands there twice is scored twice; without labels of both classes every score is the share of
-toxic labels (0.5 without any); further columns are not looked at.
+toxic labels (0.5 without any); further columns are not looked at; very long texts and words are read whole, by one task that holds some
+100 bytes for each byte of the text. ``docs`` must give the same rows each time it is read.
 """
 
 from __future__ import annotations
@@ -29,14 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sumfold.llm.common import texts, written
 from sumfold.llm.words import PLAIN, Words, mixed, slices
 
-_SALT = np.uint64(0x5851F42D4C957F2D)
-_COUNTS = "q long, sx long, n1 long, n0 long"
-_HELD = 1 << 20  # prefixes that a task adds up before it hands them on
+_SALT, _SLID = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_HELD = 1 << 20  # continuations that a task adds up before it hands them on
+_KNOWN = 1 << 19  # words whose likelihoods a task remembers
+_SYMBOLS = 257  # bytes, and a word's end
+RESULT = "row long, doc_id long, evidence double, toxic_nats double, ordinary_nats double"
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -49,133 +57,225 @@ def _key(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return mixed(q * _SALT + x.astype("u8"))
 
 
-def _nodes(w: Words, depth: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """By depth: words that get there, their history, and the two bytes before and the byte itself in one number."""
-    history = np.zeros(len(w.lengths), "u8")
-    last, two = np.zeros(len(w.lengths), "i8"), np.zeros(len(w.lengths), "i8")
-    for i in range(depth):
-        at = np.flatnonzero(w.lengths >= i) if i else np.arange(len(w.lengths))
-        x = w.byte(i)[at]  # 0 for words that end here
-        yield at, history[at], (two[at] << 16) + (last[at] << 8) + x
-        history, last, two = w.prefixes(i + 1), w.byte(i), last
+def spelled(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of each word and its end: the word, the history, and the two bytes before and the byte itself in one number."""
+    n = w.lengths + 1
+    of = np.repeat(np.arange(len(n)), n)
+    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = w.starts[of]
+    here = start + i
+    since = np.maximum(start, here - depth)
+    history = w.between(since, here) ^ np.where(since > start, _SLID, np.uint64(0))
+    back = lambda k: np.where(i >= k, w.lowered(here - k), 0)
+    return of, history, (back(2) << 16) + (back(1) << 8) + np.where(i < w.lengths[of], w.lowered(here), 0)
 
 
-def _counted(rows: DataFrame, depth: int) -> DataFrame:
-    """Counts of histories with their next byte by class in ``rows`` (text, toxic)."""
+def _once(w: Words, of_doc: np.ndarray) -> np.ndarray:
+    """Places of the first of each document's equal words."""
+    return np.unique(w.hashes ^ mixed(of_doc.astype("u8") + np.uint64(1)), return_index=True)[1]
+
+
+def counted(rows: DataFrame, depth: int) -> DataFrame:
+    """(q, sx, n1, n0, m1, m0): how many words of toxic and of ordinary documents in ``rows`` (text, toxic, tuning) spell a history and go on with a byte.
+
+    ``m1`` and ``m0`` count words of documents for tuning, ``n1`` and ``n0`` those of others.
+    """
+
+    names = ("n1", "n0", "m1", "m0")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def added() -> tuple[np.ndarray, ...]:
-            q, sx, n1, n0 = (np.concatenate(c) for c in zip(*held))
+            q, sx, *counts = (np.concatenate(c) for c in zip(*held))
             _, first, which = np.unique(_key(q, sx & 255), return_index=True, return_inverse=True)
-            return q[first], sx[first], *(np.bincount(which, n).astype("i8") for n in (n1, n0))
+            return q[first], sx[first], *(np.bincount(which, n).astype("i8") for n in counts)
 
         def batch_of(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c[0].view("i8")), *map(pa.array, c[1:])], names=["q", "sx", "n1", "n0"])
+            return pa.RecordBatch.from_arrays([pa.array(c[0].view("i8")), *map(pa.array, c[1:])], names=["q", "sx", *names])
 
-        for batch, data, offsets in slices(batches, 0, 2 << 20):
+        for batch, data, offsets in slices(batches, 0):
             w = Words(data, offsets, PLAIN)
-            toxic = np.repeat(np.asarray(batch.column(1)).astype("i8"), np.diff(w.bounds))
-            doc = np.repeat(mixed(np.arange(1, len(w.bounds), dtype="u8")), np.diff(w.bounds))
-            # the different words of each document; each spelling once, with its documents of either class
-            keep = np.unique(w.hashes ^ doc, return_index=True)[1]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(w.bounds))
+            keep = _once(w, doc)
+            # each spelling once, with its documents of either class
             _, first, which = np.unique(w.hashes[keep], return_index=True, return_inverse=True)
-            ones = np.bincount(which, toxic[keep], len(first)).astype("i8")
-            zeros = np.bincount(which, minlength=len(first)) - ones
-            for of, q, sx in _nodes(w.only(keep[first]), depth):
-                held.append((q, sx, ones[of], zeros[of]))
-                size += len(q)
-                if size > _HELD:
-                    held, size = [added()], 0
-                    if len(held[0][0]) > _HELD:
-                        yield batch_of(held.pop())
+            kind = (2 * np.asarray(batch.column(2)) + 1 - np.asarray(batch.column(1)))[doc[keep]]
+            of, q, sx = spelled(w.only(keep[first]), depth)
+            held.append((q, sx, *(np.bincount(which[kind == k], minlength=len(first))[of] for k in range(4))))
+            size += len(q)
+            if size > _HELD:
+                held, size = [added()], 0
+                if len(held[0][0]) > _HELD:
+                    yield batch_of(held.pop())
         if held:
             yield batch_of(added())
 
-    parts = rows.mapInArrow(count, _COUNTS)
-    return parts.groupBy("q", "sx").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-
-
-def weights(rows: DataFrame, depth: int, discount: float, least_weight: float, least_gain: float) -> DataFrame:
-    """(q, x, weight): by history and next byte, how much the byte speaks for toxic, in nats."""
-    counts = written(_counted(rows, depth), "toxic_counts").withColumn("s", F.shiftright("sx", 8))
-    types = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    histories = counts.groupBy("q").agg(F.sum("n1").alias("h1"), F.sum("n0").alias("h0"), types("n1").alias("t1"), types("n0").alias("t0"), F.count("*").alias("t"))
-    follows = counts.groupBy("s", "sx").agg(F.count("*").alias("c"))
-    after = follows.groupBy("s").agg(F.sum("c").alias("cs"))
-    all_ = counts.where("n1 + n0 > 1").join(histories, "q").join(follows.drop("s"), "sx").join(after, "s")
-    n, h, d = F.col("n1") + F.col("n0"), F.col("h1") + F.col("h0"), F.lit(discount)
-    shared = (F.greatest(n - d, F.lit(0.0)) + d * F.col("t") * F.col("c") / F.col("cs")) / h
-    all_ = all_.withColumn("shared", shared)
-
-    def of(i: int) -> Column:
-        ours = (F.greatest(F.col(f"n{i}") - d, F.lit(0.0)) + d * F.col(f"t{i}") * F.col("shared")) / F.col(f"h{i}")
-        return F.log(F.when(F.col(f"h{i}") > 0, ours).otherwise(F.col("shared")))
-
-    all_ = all_.select("q", F.col("sx").bitwiseAND(255).alias("x"), "n1", "n0", of(1).alias("l1"), of(0).alias("l0"), F.log("shared").alias("l"))
-    # what the two models say more than the shared one about the documents they come from
-    gain = 2 * (F.col("n1") * (F.col("l1") - F.col("l")) + F.col("n0") * (F.col("l0") - F.col("l")))
-    weight = F.col("l1") - F.col("l0")
-    return all_.where((F.abs(weight) >= least_weight) & (gain >= least_gain)).select("q", "x", weight.alias("weight"))
-
-
-class _Table:
-    """Weights by hash, behind a bitmap that turns most others away."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-        self.bits = np.zeros(1 << max(16, int(len(keys) * 16).bit_length()), bool)
-        self.mask = np.uint64(len(self.bits) - 1)
-        self.bits[keys & self.mask] = True
-
-    def add(self, p: np.ndarray, of: np.ndarray, to: np.ndarray) -> None:
-        """Add the weights of ``p`` to their words, of which each is named once."""
-        maybe = np.flatnonzero(self.bits[p & self.mask])
-        at = np.minimum(np.searchsorted(self.keys, p[maybe]), len(self.keys) - 1)
-        hit = np.flatnonzero(self.keys[at] == p[maybe])
-        to[of[maybe[hit]]] += self.values[at[hit]]
-
-
-def differences(docs: DataFrame, model: DataFrame, depth: int, block: int) -> DataFrame:
-    """``docs`` (text first) with ``difference``: the log-likelihoods' by the number of words."""
-    spark = docs.sparkSession
-    blocks = max(1, -(-model.count() // block))
-    for b in range(blocks):
-        part = model if blocks == 1 else model.where(F.pmod("q", F.lit(blocks)) == b)
-        pdf = part.toPandas()  # at most about ``block`` rows of 16 bytes
-        keys = _key(pdf["q"].to_numpy("i8").view("u8"), pdf["x"].to_numpy("i8"))
+    parts = rows.mapInArrow(count, "q long, sx long, " + ", ".join(f"{c} long" for c in names))
+    return parts.groupBy("q", "sx").agg(*[F.sum(c).alias(c) for c in names])
+
+
+class Model:
+    """Log-probabilities as tables.
+
+    ``lowest`` (sx, l) and ``unseen`` (s, l): continuations of two bytes that were met, and any other;
+    ``continued`` (q, sx, l1, l0): continuations of histories, by class; ``backoff`` (q, b1, b0): what a history adds
+    to the lowest one for a byte it was never followed by.
+    """
+
+    def __init__(self, counts: DataFrame, depth: int, discount: float, strength: float):
+        self.depth = depth
+        counts = counts.select("q", "sx", "n1", "n0", F.shiftright("sx", 8).alias("s")).where("n1 + n0 > 0")
+        d, m = F.lit(discount), F.lit(strength)
+        follows = counts.groupBy("s", "sx").agg(F.count("*").alias("c"))
+        after = follows.groupBy("s").agg(F.sum("c").alias("cs"), F.count("*").alias("ts"))
+        floor = d * F.col("ts") / _SYMBOLS
+        # as many as pairs of bytes, and their continuations
+        lowest = follows.join(after, "s").select("s", "sx", ((F.greatest(F.col("c") - d, F.lit(0.0)) + floor) / F.col("cs")).alias("low"))
+        self.lowest, self.unseen = lowest.select("sx", F.log("low").alias("l")), after.select("s", F.log(floor / F.col("cs")).alias("l"))
+        types = lambda c: F.sum((F.col(c) > 0).cast("long"))
+        histories = counts.groupBy("q").agg(F.sum("n1").alias("h1"), F.sum("n0").alias("h0"), types("n1").alias("t1"), types("n0").alias("t0"), F.count("*").alias("t"))
+        mass = lambda i: (d * F.col(f"t{i}") + m) / (F.col(f"h{i}") + m)
+        back = d * F.col("t") / (F.col("h1") + F.col("h0"))
+        self.backoff = histories.select("q", *[F.log(mass(i) * back).alias(f"b{i}") for i in (1, 0)])
+        joined = counts.join(histories, "q").join(lowest.drop("s"), "sx")
+        n = F.col("n1") + F.col("n0")
+        joined = joined.withColumn("shared", F.greatest(n - d, F.lit(0.0)) / (F.col("h1") + F.col("h0")) + back * F.col("low"))
+        of = lambda i: F.log(F.greatest(F.col(f"n{i}") - d, F.lit(0.0)) / (F.col(f"h{i}") + m) + mass(i) * F.col("shared"))
+        self.continued = joined.select("q", "sx", of(1).alias("l1"), of(0).alias("l0"))
+
+    def kept(self) -> "Model":
+        """With its tables written."""
+        for name in ("lowest", "unseen", "continued", "backoff"):
+            setattr(self, name, written(getattr(self, name), f"toxic_{name}"))
+        return self
+
+
+class _Tables:
+    """A model's sorted arrays, for one task's lookups."""
+
+    def __init__(self, model: Model):
+        def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+            t = df.select(*names).toArrow()
+            return [t[c].to_numpy() for c in names]
+
+        q, sx, l1, l0 = columns(model.continued, "q", "sx", "l1", "l0")
+        self.continued = self._sorted(_key(q.view("u8"), sx & 255), l1, l0)
+        q, b1, b0 = columns(model.backoff, "q", "b1", "b0")
+        self.backoff = self._sorted(q.view("u8"), b1, b0)
+        self.lowest = self._sorted(*columns(model.lowest, "sx", "l"))
+        self.unseen = self._sorted(*columns(model.unseen, "s", "l"))
+
+    @staticmethod
+    def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(keys)
-        known = spark.sparkContext.broadcast((keys[order], pdf["weight"].to_numpy("f8")[order]))
-
-        def look(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            lookup = _Table(*known.value) if len(known.value[0]) else None
-            for batch, data, offsets in slices(batches, 0):
-                w = Words(data, offsets, PLAIN)
-                n = np.diff(w.bounds)
-                doc = np.repeat(np.arange(len(n)), n)
-                # each spelling once, for all the words spelled so
-                _, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
-                by_word = np.zeros(len(first))
-                for of, q, sx in _nodes(w.only(first), depth) if lookup else ():
-                    lookup.add(_key(q, sx & 255), of, by_word)
-                total = np.bincount(doc, by_word[which], len(n))
-                part = pa.array(total / np.maximum(n, 1))
-                names = batch.schema.names
-                if names[-1] == "difference":
-                    batch, part = batch.drop_columns(["difference"]), pa.compute.add(batch.column("difference"), part)
-                yield batch.append_column("difference", part)
-
-        schema = docs.schema if b else T.StructType([*docs.schema.fields, T.StructField("difference", T.DoubleType())])
-        docs = docs.mapInArrow(look, schema)
-        if b + 1 < blocks:
-            docs = written(docs, "toxic_part")
-    return docs
+        return keys[order], *(v[order].astype("f4") for v in values)
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table[0]):
+            return np.zeros(len(keys), "i8"), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return at, table[0][at] == keys
+
+    def words(self, w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of each word, by the toxic and the ordinary model."""
+        of, q, sx = spelled(w, depth)
+        at, hit = self._find(self.continued, _key(q, sx & 255))
+        out = [np.zeros(len(q)), np.zeros(len(q))]
+        for k in (0, 1):
+            out[k][hit] = self.continued[1 + k][at[hit]]
+        rest = np.flatnonzero(~hit)
+        at, low = self._find(self.lowest, sx[rest])
+        lost, met = self._find(self.unseen, sx[rest] >> 8)
+        base = np.full(len(rest), -np.log(_SYMBOLS))
+        base[met] = self.unseen[1][lost[met]]
+        base[low] = self.lowest[1][at[low]]
+        at, hit = self._find(self.backoff, q[rest])
+        for k in (0, 1):
+            base_k = base.copy()
+            base_k[hit] += self.backoff[1 + k][at[hit]]
+            out[k][rest] = base_k
+        return tuple(np.bincount(of, x, len(w.lengths)) for x in out)
+
+
+def _mixture(l1: np.ndarray, l0: np.ndarray, share: float) -> np.ndarray:
+    return np.logaddexp(np.log1p(-share), np.log(share) + l1 - l0)
+
+
+def likelihoods(docs: DataFrame, model: Model, share: float, table: int) -> DataFrame:
+    """``RESULT`` for each of ``docs`` (row, doc_id, text)."""
+    if model.continued.count() > table:
+        return _joined(docs, model, share)
+    known = docs.sparkSession.sparkContext.broadcast(_Tables(model))
+    depth = model.depth
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = known.value
+        seen = np.zeros(0, "u8"), np.zeros(0), np.zeros(0)
+        for batch, data, offsets in slices(batches, 2):
+            w = Words(data, offsets, PLAIN)
+            n = np.diff(w.bounds)
+            doc = np.repeat(np.arange(len(n)), n)
+            # each spelling once, for all the words spelled so, and for the slices to come
+            h, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
+            at, hit = tables._find(seen, h)
+            l1, l0 = (np.where(hit, x[at] if len(x) else 0.0, 0.0) for x in seen[1:])
+            new = ~hit
+            l1[new], l0[new] = tables.words(w.only(first[new]), depth)
+            merged = [np.concatenate([x, y[new]]) for x, y in zip(seen, (h, l1, l0))] if len(seen[0]) < _KNOWN else [h, l1, l0]
+            order = np.argsort(merged[0])
+            seen = tuple(x[order] for x in merged)
+            keep = _once(w, doc)
+            evidence = np.bincount(doc[keep], _mixture(l1, l0, share)[which[keep]], len(n)) / np.sqrt(np.maximum(n, 1))
+            nats = [np.bincount(doc, x[which], len(n)) / np.maximum(n, 1) for x in (l1, l0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (evidence, *nats))], names=["row", "doc_id", "evidence", "toxic_nats", "ordinary_nats"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(look, RESULT)
+
+
+def _joined(docs: DataFrame, model: Model, share: float) -> DataFrame:
+    """The same for models of any size: words are joined with them, and then with the documents that have them."""
+    depth = model.depth
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, "u8")
+        for _, data, offsets in slices(batches, 0):
+            w = Words(data, offsets, PLAIN)
+            h, first = np.unique(w.hashes, return_index=True)
+            new = ~np.isin(h, seen)
+            seen = np.concatenate([seen, h[new]]) if len(seen) < _KNOWN else h
+            of, q, sx = spelled(w.only(first[new]), depth)
+            i = np.arange(len(of)) - np.searchsorted(of, of)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[new][of].view("i8"), i, q.view("i8"), sx)], names=["w", "i", "q", "sx"])
+
+    def has(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, 1):
+            w = Words(data, offsets, PLAIN)
+            n = np.diff(w.bounds)
+            doc = np.repeat(np.arange(len(n)), n)
+            salt = w.hashes ^ mixed(doc.astype("u8") + np.uint64(1))
+            _, first, times = np.unique(salt, return_index=True, return_counts=True)
+            of = doc[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(w.hashes[first].view("i8")), pa.array(times), pa.array(n[of])], names=["row", "w", "times", "n"])
+
+    # a word's bytes from several tasks are equal rows
+    spelled_ = docs.select("text").mapInArrow(words, "w long, i long, q long, sx long").distinct()
+    often = spelled_.withColumn("s", F.shiftright("sx", 8)).join(F.broadcast(model.lowest), "sx", "left")
+    often = often.join(F.broadcast(model.unseen.withColumnRenamed("l", "l_")), "s", "left").join(model.continued, ["q", "sx"], "left").join(model.backoff, "q", "left")
+    base = F.coalesce("l", "l_", F.lit(-float(np.log(_SYMBOLS))))
+    of = lambda i: F.sum(F.coalesce(f"l{i}", base + F.coalesce(f"b{i}", F.lit(0.0)))).alias(f"l{i}")
+    by_word = written(often.groupBy("w").agg(of(1), of(0)), "toxic_words")
+    found = docs.select("row", "text").mapInArrow(has, "row long, w long, times long, n long").join(by_word, "w")
+    mixture = F.log(1 - share + share * F.exp(F.col("l1") - F.col("l0")))
+    nats = lambda i: (F.sum(F.col("times") * F.col(f"l{i}")) / F.max("n"))
+    sums = found.groupBy("row").agg((F.sum(mixture) / F.sqrt(F.max("n"))).alias("evidence"), nats(1).alias("toxic_nats"), nats(0).alias("ordinary_nats"))
+    return docs.select("row", "doc_id").join(sums, "row", "left").fillna(0.0, ["evidence", "toxic_nats", "ordinary_nats"]).select(*[x.split()[0] for x in RESULT.split(", ")])
 
 
 def curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve through (difference, toxic, ordinary) counts."""
+    """Slope and intercept of a logistic curve through (evidence, toxic, ordinary) counts."""
     x, n1, n0 = (np.array(c, "f8") for c in zip(*bins)) if bins else (np.zeros(0),) * 3
     if not n1.sum() or not n0.sum():
         share = n1.sum() / (n1.sum() + n0.sum()) if len(x) and (n1.sum() + n0.sum()) else 0.5
@@ -196,21 +296,25 @@ def curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a / scale, b
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, depth: int = 10, discount: float = 0.75, least_weight: float = 1.0, least_gain: float = 20.0, block: int = 4_000_000, broadcast_labels: int = 2_000_000) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted. Labels of the held-out fold are not used."""
-    docs = texts(docs)
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, depth: int = 16, discount: float = 0.75, strength: float = 10.0, share: float = 0.01, table: int = 6_000_000, broadcast_labels: int = 2_000_000) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted, and what they come from. Labels of the held-out fold are not used."""
+    docs = texts(docs).withColumn("row", F.monotonically_increasing_id())
     used = labels.select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("toxic")).where("d IS NOT NULL AND toxic IN (0, 1)")
     used = used.where(remainder(F.col("d"), folds) != held_out_fold)
     # up to a checked number of labels, documents stay where they are; more are joined by a shuffle
     few = used.count() <= broadcast_labels
-    joined = docs.join(F.broadcast(used) if few else used, F.col("doc_id") == F.col("d"))
-    # a fifth of the training rows, by another hash, is for the curve alone
     tuning = F.pmod(F.xxhash64("d"), F.lit(5)) == 0
-    model = written(weights(joined.where(~tuning).select("text", "toxic"), depth, discount, least_weight, least_gain), "toxic_weights")
-    scored = written(differences(docs.select("text", "doc_id"), model, depth, block).select("doc_id", "difference"), "toxic_scored")
-    tuned = scored.join(used.where(tuning), F.col("doc_id") == F.col("d"))
-    bins = tuned.groupBy(F.round("difference", 3).alias("x")).agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
+    used = used.withColumn("tuning", tuning.cast("int"))
+    joined = docs.join(F.broadcast(used) if few else used, F.col("doc_id") == F.col("d"))
+    counts = written(counted(joined.select("text", "toxic", "tuning"), depth), "toxic_counts")
+    most = Model(counts, depth, discount, strength).kept()
+    tuned = joined.where("tuning = 1").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "toxic")
+    tuned = written(tuned, "toxic_tuning")
+    tuned = likelihoods(tuned, most, share, table).join(tuned.select("row", "toxic"), "row")
+    bins = tuned.groupBy(F.round("evidence", 3).alias("x")).agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
     a, b = curve(sorted(tuple(r) for r in bins.collect()))
-    p = 1 / (1 + F.exp(-(F.lit(a) * F.col("difference") + F.lit(b))))
-    out = scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), p.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    p = 1 / (1 + F.exp(-(F.lit(a) * F.col("evidence") + F.lit(b))))
+    every = Model(counts.select("q", "sx", (F.col("n1") + F.col("m1")).alias("n1"), (F.col("n0") + F.col("m0")).alias("n0")), depth, discount, strength).kept()
+    scored = likelihoods(docs, every, share, table)
+    out = scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), p.alias("score"), "evidence", "toxic_nats", "ordinary_nats")
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "toxic_nats", "ordinary_nats")

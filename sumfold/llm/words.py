@@ -51,7 +51,7 @@ _powers = np.ones((2, 1), "u8")
 def _power_tables(n: int) -> np.ndarray:
     global _powers
     if _powers.shape[1] <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, (1 << 20) + 2)
         up, down = np.full(size, _BASE), np.full(size, _UNBASE)
         up[0] = down[0] = _ONE
         _powers = np.stack([np.cumprod(up), np.cumprod(down)])
@@ -82,14 +82,13 @@ class Words:
     def _hash(self, ends: np.ndarray) -> np.ndarray:
         return mixed((self._total[ends] - self._total[self.starts]) * self._down)
 
-    def prefixes(self, n: int) -> np.ndarray:
-        """Hashes of each word's first ``n`` bytes (of all, if it has no more)."""
-        return self._hash(self.starts + np.minimum(n, self.lengths))
+    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ranges of bytes; that of none is 0."""
+        return mixed((self._total[end] - self._total[begin]) * _power_tables(len(self.data) + 1)[1][begin])
 
-    def byte(self, i: int) -> np.ndarray:
-        """The byte at ``i`` of each word, lowered; 0 past its end."""
-        at = np.minimum(self.starts + i, max(len(self.data) - 1, 0))
-        return np.where(i < self.lengths, _LOWER[self.data[at]], 0).astype("i8")
+    def lowered(self, at: np.ndarray) -> np.ndarray:
+        """The bytes at these places, lowered; any where the place is outside."""
+        return _LOWER[self.data[np.clip(at, 0, max(len(self.data) - 1, 0))]].astype("i8") if len(self.data) else np.zeros(len(at), "i8")
 
     def only(self, at: np.ndarray) -> "Words":
         """The words at these places by themselves: spellings and hashes; ``bounds`` no longer hold."""

@@ -1,6 +1,9 @@
 """The fitted operators: held-out accuracy, gradients, defined cases; and the pipeline."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +12,7 @@ import pytest
 from sumfold.llm import quality, toxicity
 from sumfold.llm.words import column_bytes
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 GOOD = ["the", "of", "river", "winter", "garden", "stone", "letter", "morning", "window", "answer", "paper", "music"]
 
 
@@ -49,36 +53,74 @@ def test_quality_cases(docs, spark):
     assert np.add.reduceat(model.attention(x, bounds), bounds[:-1]) == pytest.approx(np.ones(5), abs=1e-5)
 
 
+def kneser_ney(train, texts, d, m, share, depth):
+    """By plain counting: evidence and both models' log-likelihoods per word of each text."""
+    words = lambda t: [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))]
+    events = lambda w: [((i > depth, w[max(0, i - depth) : i]), (w[:i][-2:-1], w[:i][-1:]), w[i] if i < len(w) else 0) for i in range(len(w) + 1)]
+    n = Counter()
+    for t, y in train:
+        for w in set(words(t)):
+            for h, s, x in events(w):
+                n[y, h, s, x] += 1
+    seen = {(h, s, x) for _, h, s, x in n}
+    follows = Counter((s, x) for _, s, x in seen)
+    after = lambda s: [c for (r, _), c in follows.items() if r == s]
+
+    def lowest(s, x):
+        c = after(s)
+        return (max(follows[s, x] - d, 0) + d * len(c) / 257) / sum(c) if c else 1 / 257
+
+    def p(y, h, s, x):
+        of = lambda cs: Counter({k: sum(v for (c, g, _, z), v in n.items() if c in cs and g == h and z == k) for k in {z for _, g, _, z in n if g == h}})
+        both, own = of((0, 1)), of((y,))
+        total, mine = sum(both.values()), sum(own.values())
+        if not total:
+            return lowest(s, x)
+        shared = (max(both[x] - d, 0) + d * sum(v > 0 for v in both.values()) * lowest(s, x)) / total
+        return (max(own[x] - d, 0) + (d * sum(v > 0 for v in own.values()) + m) * shared) / (mine + m)
+
+    out = []
+    for t in texts:
+        ws = words(t)
+        ll = {w: [sum(math.log(p(y, *e)) for e in events(w)) for y in (1, 0)] for w in set(ws)}
+        evidence = sum(math.log(1 - share + share * math.exp(a - b)) for a, b in ll.values()) / math.sqrt(max(len(ws), 1))
+        out.append((evidence, *(sum(ll[w][k] for w in ws) / max(len(ws), 1) for k in (0, 1))))
+    return out
+
+
+def test_toxicity_is_kneser_ney(docs, spark):
+    train = [("zor zorish zor ok", 1), ("Zorer ok, day 9", 0), ("an ok day é", 0), ("aaaaaaaaaaaaaaaa aaa", 1), ("zo", 1)]
+    texts = ["zor ok ok ok", "zorish zoru qq zor", "day", "aaaaaaaaaaaaaaaaaaaaaaaa é", "", None, "zor zor", "zor zor"]
+    counts = toxicity.counted(spark.createDataFrame([(*x, 0) for x in train] + [("tuned only", 1, 1)], "text string, toxic int, tuning int"), 5)
+    model = toxicity.Model(counts, 5, 0.75, 2.0).kept()
+    expected = kneser_ney(train, texts, 0.75, 2.0, 0.1, 5)
+    rows = docs(*texts).selectExpr("doc_id AS row", "doc_id", "coalesce(text, '') AS text")
+    for table in (1000, 0):  # in arrays, and by joins
+        found = {x["doc_id"]: tuple(x)[2:] for x in toxicity.likelihoods(rows, model, 0.1, table).collect()}
+        for i, e in enumerate(expected):
+            assert found[i] == pytest.approx(e, abs=1e-5), (table, i)
+
+
 def test_toxicity_on_held_out_documents(docs, spark):
     r = random.Random(4)
     stems = ["grumph", "zorvil", "quackel"]
     texts, toxic = corpus(r, 700, lambda r: [r.choice(stems) + r.choice(["", "ish", "er", "est", "ung"]) for _ in range(6)])
     labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)] + [(None, 1, 1), (9999, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    for block in (4_000_000, 7):
-        rows = toxicity.score(docs(*texts, extra=True), labels, block=block).collect()
-        assert len(rows) == 700 and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in rows)
-        held = [x for x in rows if x["held_out"]]
-        assert len(held) > 80 and np.mean([x["predicted"] == toxic[x["doc_id"]] for x in held]) > 0.95
+    rows = toxicity.score(docs(*texts, extra=True), labels).collect()
+    assert len(rows) == 700 and all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in rows)
+    held = [x for x in rows if x["held_out"]]
+    assert len(held) > 80 and np.mean([x["predicted"] == toxic[x["doc_id"]] for x in held]) > 0.95
 
 
 def test_toxicity_cases(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    rows = toxicity.score(docs(None, "", " \n", "a", "b " * 5000, (None, "a"), (7, "a"), (7, "a")), none).collect()
-    assert len(rows) == 8 and all(x["score"] == pytest.approx(0.5) for x in rows)
+    rows = toxicity.score(docs(None, "", " \n", "a", "b " * 5000, "x" * 200_000, (None, "a"), (7, "a"), (7, "a"), extra=True), none).collect()
+    assert len(rows) == 9 and all(x["score"] == pytest.approx(0.5) for x in rows)
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
     a, b = toxicity.curve([(-1.0, 1, 99), (1.0, 99, 1)])
     assert 1 / (1 + np.exp(-(a + b))) == pytest.approx(0.99, abs=0.01)
 
 
-def test_toxicity_counts_every_word_through_a_prefix(docs, spark):
-    rows = spark.createDataFrame([("zor zorish zor ok", 1), ("zorer ok", 0)], "text string, toxic int")
-    counts = toxicity._counted(rows, 10).where("q = 0 AND sx = 122").first()
-    assert (counts["n1"], counts["n0"]) == (2, 1)
-    model = spark.createDataFrame([(0, 122, 4.0)], "q long, x long, weight double")
-    found = toxicity.differences(docs("zor ok ok ok", "zor zorish zor ok", "zor zor", "ok", "").select("text", "doc_id"), model, 10, 100)
-    assert [x["difference"] for x in found.orderBy("doc_id").collect()] == pytest.approx([1.0, 3.0, 4.0, 0.0, 0.0])
-
-
 def test_folds(spark):
     import zlib
 
