@@ -12,7 +12,8 @@ with the documents on fingerprints, and only documents with a match are looked a
 
 Defined cases: null and empty texts have no words and are never contaminated, such items match
 nothing; items of equal text all match; equal ids count once; items without an id are not counted,
-though their words are hit; equal documents get equal rows; an empty benchmark hits nothing.
+though their words are hit; equal documents get equal rows; an empty benchmark hits nothing; further columns are not looked at by ``contamination`` and kept by ``clean``; a very
+long text is hashed by one task, which holds some 60 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import texts, written
+from sumfold.llm.common import free, texts, written
 from sumfold.llm.words import PLAIN, Words, column_bytes, slices
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -146,11 +147,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, b
     items = _items(benchmark)
     known = _bounded(items, broadcast_words)
     if known is None:
-        keyed = docs.withColumn("_clean_row", F.sha2(F.coalesce("text", F.lit("")), 256))
+        key, bad_key = free(docs.columns, "_clean_row"), free(docs.columns, "_clean_bad")
+        keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
         # documents of one text are contaminated or not alike
-        once = keyed.select("text", "_clean_row").dropDuplicates(["_clean_row"]).withColumn("doc_id", F.xxhash64("_clean_row"))
-        bad = _joined(once, items, window, k).where("contaminated").select(F.col("doc_id").alias("_clean_bad"))
-        return keyed.join(bad, F.xxhash64("_clean_row") == F.col("_clean_bad"), "left_anti").drop("_clean_row")
+        once = keyed.select("text", F.xxhash64(key).alias("doc_id")).dropDuplicates(["doc_id"])
+        bad = _joined(once, items, window, k).where("contaminated").select(F.col("doc_id").alias(bad_key))
+        return keyed.join(bad, F.xxhash64(key) == F.col(bad_key), "left_anti").drop(key)
     n = len(docs.columns)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, b
             bad = prints.rows([None] * batch.num_rows, data, offsets).column(5)
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.compute.invert(bad))
 
-    return docs.withColumn("_clean_text", F.coalesce("text", F.lit(""))).mapInArrow(keep, docs.schema)
+    return docs.withColumn(free(docs.columns, "_clean_text"), F.coalesce("text", F.lit(""))).mapInArrow(keep, docs.schema)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -168,9 +170,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 def _bounded(items: DataFrame, words: int):
     """The items as a broadcast, or None if they may have more than ``words`` words."""
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    # a word and what parts it from the next are two characters at least
-    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]) if size <= 2 * words else None
+    size, rows = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
+    # a word and what parts it from the next are two characters at least; items may be empty
+    return items.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]) if max(size / 2, rows) <= words else None
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:

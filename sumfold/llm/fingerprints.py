@@ -9,7 +9,8 @@ than a shingle has its whole word sequence as one shingle.
 Defined cases: null is the empty text; texts without words have an empty sketch; two empty
 sketches have likeness 1, an empty and another one 0; equal texts have equal sketches;
 ``doc_id`` orders the documents, nulls first, equal ids by their texts; of one document alone the next is
-itself; an empty table gives no rows; further columns are not looked at.
+itself; an empty table gives no rows; further columns are not looked at; a very long text is hashed by
+one task, which holds some 60 bytes for each byte of it and the text that follows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from sumfold.llm.common import texts
 from sumfold.llm.words import SPACED, Words, column_bytes, mixed
 
 _DIGITS = 10  # hexadecimal digits kept of each hash
+_KEPT = np.uint64((1 << 64) - (1 << (64 - 4 * _DIGITS)))
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double"
 
 
@@ -35,7 +37,7 @@ def sketches(texts_: list[str], shingle: int, scale: int) -> list[np.ndarray]:
     w = Words(data, offsets, SPACED)
     grams = w.grams(shingle)
     at, doc = w.gram_docs(shingle)
-    h = grams[at]
+    h = grams[at] & _KEPT
     bound = np.uint64(min((1 << 64) // scale, (1 << 64) - 1))
     low = h < bound
     order = np.lexsort((h[low], doc[low]))
@@ -56,7 +58,7 @@ def sketches(texts_: list[str], shingle: int, scale: int) -> list[np.ndarray]:
                 g = np.zeros(1, "u8")
                 for j in range(lo, hi):
                     g = mixed(g * np.uint64(31) + w.hashes[j : j + 1])
-                s = g
+                s = g & _KEPT
         out.append(s)
     return out
 

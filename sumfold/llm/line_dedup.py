@@ -16,7 +16,8 @@ Ranks are needed only up to the longest such run's lines, so rounds are as many
 Defined cases: null texts stay null; empty lines and texts never match, an empty line goes with the line before
 it; runs never reach over documents or empty documents; copies may overlap, and in a document that repeats
 one line the first stays; equal rows are copies of each other; an empty table gives no rows; all columns are
-kept, and ``n_chars``, where there is one, follows the text. ``docs`` must give the same rows each time it is read, as
+kept but such that are called like ``counts``, which give way, and ``n_chars``, where there is one, follows the text; ``doc_id`` has any
+type that can be ordered; a very long text is cut into lines by one task, which holds some 60 bytes for each byte of it. ``docs`` must give the same rows each time it is read, as
 stored tables do.
 """
 
@@ -30,10 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumfold.llm.common import written
+from sumfold.llm.common import free, written
 from sumfold.llm.words import EXACT, LINES, SPACED, Words, slices
 
-_ROW = "_line_dedup_row"
+
+def _id(df: DataFrame) -> str:
+    """``doc_id`` with its type, which is any that can be ordered."""
+    return f"doc_id {df.schema['doc_id'].dataType.simpleString()}"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -48,7 +52,7 @@ def lines(docs: DataFrame) -> DataFrame:
             ln = np.arange(len(one.starts)) - np.repeat(one.bounds[:-1], n)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(ln), pa.array(np.diff(words)), pa.array(one.hashes.view("i8")), pa.array(other.hashes.view("i8"))], names=["row", "doc_id", "ln", "w", "h1", "h2"])
 
-    return docs.mapInArrow(cut, "row long, doc_id long, ln long, w long, h1 long, h2 long")
+    return docs.mapInArrow(cut, f"row long, {_id(docs)}, ln long, w long, h1 long, h2 long")
 
 
 def ranked(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -122,7 +126,7 @@ def runs(suffixes: DataFrame, levels: int, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *map(pa.array, rest)], names=["row", "doc_id", "ln", "m", "x", "y"])
 
     segments = segments.select("row", "doc_id", "s")
-    return segments.mapInArrow(name, "row long, doc_id long, ln long, m long, x long, y long")
+    return segments.mapInArrow(name, f"row long, {_id(suffixes)}, ln long, m long, x long, y long")
 
 
 def longest(suffixes: DataFrame, min_words: int) -> int:
@@ -149,21 +153,25 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
     found = written(runs(suffixes, k, min_words), "runs")
     here = F.struct("doc_id", "row", "ln")
     first = found.groupBy("m", "x", "y").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join can split an interval of very many suffixes
+    first = written(first, "first")
     return found.join(first, ["m", "x", "y"]).where(here > F.col("first")).select("row", "ln", "m")
 
 
-def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` without later copies of repeated runs, and ``n_lines``, ``n_removed``: lines not empty, and those of them deleted."""
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    later = later_copies(numbered.select(F.col(_ROW).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), min_words)
-    later = later.groupBy(F.col("row").alias("_line_dedup_later")).agg(F.collect_list(F.struct("ln", "m")).alias("_line_dedup_runs"))
-    both = numbered.join(later, F.col(_ROW) == F.col("_line_dedup_later"), "left").drop(_ROW, "_line_dedup_later")
+def dedup(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` without later copies of repeated runs, and ``counts``: lines not empty, and those of them deleted."""
+    docs = docs.drop(*counts)
     columns = docs.columns
+    row, later_row, spans_of = (free(columns, f"_line_dedup_{x}") for x in ("row", "later", "runs"))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    later = later_copies(numbered.select(F.col(row).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), min_words)
+    later = later.groupBy(F.col("row").alias(later_row)).agg(F.collect_list(F.struct("ln", "m")).alias(spans_of))
+    both = numbered.join(later, F.col(row) == F.col(later_row), "left").drop(row, later_row)
     text_at, has_size = columns.index("text"), "n_chars" in columns
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = batch.column(text_at).to_pylist(), [], []
+            texts, total, removed = batch.column(text_at).to_pylist(), [], []
             for i, spans in enumerate(batch.column(len(columns)).to_pylist()):
                 parts = (texts[i] or "").split("\n")
                 n = sum(map(bool, parts))
@@ -172,7 +180,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
                     gone[s["ln"]] += 1
                     gone[s["ln"] + s["m"]] -= 1
                 gone = np.cumsum(gone)[:n] > 0
-                counts.append(n)
+                total.append(n)
                 removed.append(int(gone.sum()))
                 if removed[-1]:
                     kept, at, drop = [], 0, False
@@ -188,7 +196,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 at = columns.index("n_chars")
                 sizes = [old if not r else len(t) for old, r, t in zip(arrays[at].to_pylist(), removed, texts)]
                 arrays[at] = pa.array(sizes, arrays[at].type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*columns, *counts])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
     return both.mapInArrow(delete, schema)

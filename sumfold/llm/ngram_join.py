@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import written
+from sumfold.llm.common import free, written
 from sumfold.llm.components import components
 from sumfold.llm.words import SPACED, Words, mixed, slices
 
 _U = np.uint64
-_BATCH = 8 << 20  # bytes of text in a batch of fragments
+_BATCH = 4 << 20  # bytes of text in a batch of fragments
 _LOW48 = _U((1 << 48) - 1)
 _FEW = 32  # members in a task below which an n-gram is not reported as frequent
 
@@ -346,7 +346,8 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 75, pivots: int = 2, frag
         packed = packed.union(known_shared(docs, n, cut, known, cut.fragments))
     kept = written(assembled(packed, percent), "kept")
     # the first bits of a token name its range
-    segments = kept.select("ref", F.explode("grams").alias("g")).groupBy("ref", F.shiftrightunsigned("g", 56).alias("v")).agg(F.collect_list("g").alias("grams"))
+    ranges = F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))).alias("v")
+    segments = kept.select("ref", ranges, "grams").select("ref", "v", F.expr("filter(grams, g -> shiftrightunsigned(g, 56) = v)").alias("grams")).where("size(grams) > 0")
     segments = written(segments, "segments")
     rows = kept.select("ref", "n", (F.col("shared") / F.col("n")).alias("share"), F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"))))
     meeting = rows.groupBy("token").count().where("count > 1").select("token")
@@ -389,7 +390,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all its columns, without but one document of each component."""
-    row = "_ngram_join_row"
+    row, stays_row = free(docs.columns, "_ngram_join_row"), free(docs.columns, "_ngram_join_stays")
     named = docs.withColumn(row, F.monotonically_increasing_id())
-    stays = groups(named.select(F.col(row).alias("row"), "doc_id", "text"), **options).where("stays").select(F.col("row").alias("_ngram_join_stays"))
-    return named.join(stays, F.col(row) == F.col("_ngram_join_stays"), "left_semi").drop(row)
+    stays = groups(named.select(F.col(row).alias("row"), "doc_id", "text"), **options).where("stays").select(F.col("row").alias(stays_row))
+    return named.join(stays, F.col(row) == F.col(stays_row), "left_semi").drop(row)

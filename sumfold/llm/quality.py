@@ -7,13 +7,14 @@ logistic unit scores their weighted sum:
 
     h = tanh(W x + b),  a = softmax over passages of u (tanh(V h) * sigmoid(G h)),  score = sigmoid(c (sum of a h) + d)
 
-The model is fitted on the driver to the passages of at most ``sample`` labelled documents, chosen
+The model is fitted on the driver to the passages of at most ``sample`` labelled documents of ``characters`` together, chosen
 by a hash of their id; every passage of every document is scored on the executors.
 
 Defined cases: null and empty texts, and such without words, are one passage without content; rows
 of ``labels`` that are null or name no document teach nothing; several labels of a document all
 count; without labels of both classes every score is the share of good labels (0.5 without any); equal texts have equal
-scores; an empty table gives no rows; further columns are not looked at.
+scores; an empty table gives no rows; further columns are not looked at; a very long text is encoded by one task, which holds
+some 100 bytes for each byte of it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumfold.llm.common import texts
+from sumfold.llm.common import free, texts
 from sumfold.llm.toxicity import remainder
 from sumfold.llm.words import SPACED, Words, mixed, slices
 
@@ -162,12 +163,16 @@ class Model:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, sample: int = 4000) -> Model:
-    """Fit the model to at most ``sample`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, sample: int = 4000, characters: int = 50_000_000) -> Model:
+    """Fit the model to labelled documents outside the held-out fold, in order of a hash: ``sample`` of them and as many ``characters`` at most."""
     used = labels.select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("quality")).where("d IS NOT NULL AND quality IN (0, 1)")
     used = used.where(remainder(F.col("d"), folds) != held_out_fold).orderBy(F.xxhash64("d"), "d", "quality").limit(sample)
     # ``sample`` rows at most
     chosen = texts(docs).join(F.broadcast(used), F.col("doc_id") == F.col("d")).select("text", "d", "quality")
+    sizes = sorted((r[0], r[1], r[2], r[3]) for r in chosen.select(F.xxhash64("d"), "d", F.length("text"), "quality").collect())
+    total = np.cumsum([r[2] for r in sizes])
+    if len(total) and total[-1] > characters:  # ids, as many as ``sample``
+        chosen = chosen.where(F.col("d").isin([r[1] for r, t in zip(sizes, total) if t <= characters]))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, 0):
@@ -184,18 +189,20 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs``, all its columns, and ``score``: how likely the label 1 is."""
+    """``docs``, all its columns, and ``score``: how likely the label 1 is. Another column of that name gives way."""
+    docs = docs.drop("score")
+    of = free(docs.columns, "_scored_text")
     known = docs.sparkSession.sparkContext.broadcast(model)
     from pyspark.sql import types as T
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, len(docs_columns)):
-            out = batch.drop_columns(["_scored_text"])
+            out = batch.drop_columns([of])
             yield out.append_column("score", pa.array(known.value.score(*passages(data, offsets))))
 
     docs_columns = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.withColumn("_scored_text", F.coalesce("text", F.lit(""))).mapInArrow(apply, schema)
+    return docs.withColumn(of, F.coalesce("text", F.lit(""))).mapInArrow(apply, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, sample: int = 4000) -> DataFrame:

@@ -9,7 +9,8 @@ of different continuations, ``d`` the discount and ``m`` the strength:
 * shared, both classes together: ``P(x|h) = (max(n - d, 0) + d t(h) P(x|s)) / n(h)``, the lowest where ``h`` was never met;
 * of a class: ``P_c(x|h) = (max(n_c - d, 0) + (d t_c(h) + m) P(x|h)) / (n_c(h) + m)``.
 
-So rare expressions, of which a class says little by itself, weigh about the same in both, and nothing is pruned. A
+Histories of fewer than ``least`` words count as never met, here and in the continuation counts (a cut-off, as usual for long histories). So
+rare expressions, of which a class says little by itself, weigh about the same in both. A
 document's different words are counted once each, in the models and in ``evidence``: a toxic document is mostly ordinary words, so its
 words come from the toxic model by ``share`` and else from the ordinary one, and each adds
 ``log(1 - share + share P_1(w) / P_0(w))``; the sum is divided by the square root of the number of the document's words, and a
@@ -93,7 +94,7 @@ def counted(rows: DataFrame, depth: int) -> DataFrame:
             return q[first], sx[first], *(np.bincount(which, n).astype("i8") for n in counts)
 
         def batch_of(c: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c[0].view("i8")), *map(pa.array, c[1:])], names=["q", "sx", *names])
+            return pa.RecordBatch.from_arrays([pa.array(c[0].view("i8")), pa.array(c[1].astype("i4")), *map(pa.array, c[2:])], names=["q", "sx", *names])
 
         for batch, data, offsets in slices(batches, 0):
             w = Words(data, offsets, PLAIN)
@@ -112,56 +113,63 @@ def counted(rows: DataFrame, depth: int) -> DataFrame:
         if held:
             yield batch_of(added())
 
-    parts = rows.mapInArrow(count, "q long, sx long, " + ", ".join(f"{c} long" for c in names))
-    return parts.groupBy("q", "sx").agg(*[F.sum(c).alias(c) for c in names])
+    return rows.mapInArrow(count, "q long, sx int, " + ", ".join(f"{c} long" for c in names))
+
+
+def histories(rows: DataFrame, depth: int, least: int) -> DataFrame:
+    """(q, e): histories of ``least`` words or more, and of each continuation ``sx`` its four counts as in ``counted``."""
+    counts = ("n1", "n0", "m1", "m0")
+    # dealt out by history once; both groupings stay where they are
+    found = counted(rows, depth).repartition("q").groupBy("q", "sx").agg(*[F.sum(c).alias(c) for c in counts])
+    found = found.groupBy("q").agg(F.collect_list(F.struct("sx", *counts)).alias("e"))
+    return found.where(F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + x.n1 + x.n0 + x.m1 + x.m0) >= least)
 
 
 class Model:
-    """Log-probabilities as tables.
+    """Log-probabilities as tables, from ``histories`` with or without what is for tuning.
 
     ``lowest`` (sx, l) and ``unseen`` (s, l): continuations of two bytes that were met, and any other;
     ``continued`` (q, sx, l1, l0): continuations of histories, by class; ``backoff`` (q, b1, b0): what a history adds
     to the lowest one for a byte it was never followed by.
     """
 
-    def __init__(self, counts: DataFrame, depth: int, discount: float, strength: float):
+    def __init__(self, found: DataFrame, tuning: bool, depth: int, least: int, discount: float, strength: float):
         self.depth = depth
-        counts = counts.select("q", "sx", "n1", "n0", F.shiftright("sx", 8).alias("s")).where("n1 + n0 > 0")
         d, m = F.lit(discount), F.lit(strength)
-        follows = counts.groupBy("s", "sx").agg(F.count("*").alias("c"))
+        count = lambda x, i: x[f"n{i}"] + x[f"m{i}"] if tuning else x[f"n{i}"]
+        e = F.filter(F.transform("e", lambda x: F.struct(x.sx.alias("sx"), count(x, 1).alias("n1"), count(x, 0).alias("n0"))), lambda x: x.n1 + x.n0 > 0)
+        total = lambda f: F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + f(x).cast("long"))
+        found = found.select("q", e.alias("e"))
+        found = found.select("q", "e", total(lambda x: x.n1).alias("h1"), total(lambda x: x.n0).alias("h0"), total(lambda x: x.n1 > 0).alias("t1"), total(lambda x: x.n0 > 0).alias("t0"), F.size("e").alias("t"))
+        found = found.where(F.col("h1") + F.col("h0") >= least)
+        counts = found.select("*", F.inline("e")).drop("e")
+        self.size = found.agg(F.sum("t")).first()[0] or 0
+        follows = counts.groupBy(F.shiftright("sx", 8).alias("s"), "sx").agg(F.count("*").alias("c"))
         after = follows.groupBy("s").agg(F.sum("c").alias("cs"), F.count("*").alias("ts"))
         floor = d * F.col("ts") / _SYMBOLS
         # as many as pairs of bytes, and their continuations
-        lowest = follows.join(after, "s").select("s", "sx", ((F.greatest(F.col("c") - d, F.lit(0.0)) + floor) / F.col("cs")).alias("low"))
+        lowest = follows.join(after, "s").select("sx", ((F.greatest(F.col("c") - d, F.lit(0.0)) + floor) / F.col("cs")).alias("low"))
         self.lowest, self.unseen = lowest.select("sx", F.log("low").alias("l")), after.select("s", F.log(floor / F.col("cs")).alias("l"))
-        types = lambda c: F.sum((F.col(c) > 0).cast("long"))
-        histories = counts.groupBy("q").agg(F.sum("n1").alias("h1"), F.sum("n0").alias("h0"), types("n1").alias("t1"), types("n0").alias("t0"), F.count("*").alias("t"))
         mass = lambda i: (d * F.col(f"t{i}") + m) / (F.col(f"h{i}") + m)
         back = d * F.col("t") / (F.col("h1") + F.col("h0"))
-        self.backoff = histories.select("q", *[F.log(mass(i) * back).alias(f"b{i}") for i in (1, 0)])
-        joined = counts.join(histories, "q").join(lowest.drop("s"), "sx")
+        self.backoff = found.select("q", *[F.log(mass(i) * back).alias(f"b{i}") for i in (1, 0)])
         n = F.col("n1") + F.col("n0")
-        joined = joined.withColumn("shared", F.greatest(n - d, F.lit(0.0)) / (F.col("h1") + F.col("h0")) + back * F.col("low"))
+        shared = F.greatest(n - d, F.lit(0.0)) / (F.col("h1") + F.col("h0")) + back * F.col("low")
         of = lambda i: F.log(F.greatest(F.col(f"n{i}") - d, F.lit(0.0)) / (F.col(f"h{i}") + m) + mass(i) * F.col("shared"))
-        self.continued = joined.select("q", "sx", of(1).alias("l1"), of(0).alias("l0"))
-
-    def kept(self) -> "Model":
-        """With its tables written."""
-        for name in ("lowest", "unseen", "continued", "backoff"):
-            setattr(self, name, written(getattr(self, name), f"toxic_{name}"))
-        return self
+        self.continued = counts.join(F.broadcast(lowest), "sx").withColumn("shared", shared).select("q", "sx", of(1).alias("l1"), of(0).alias("l0"))
 
 
 class _Tables:
     """A model's sorted arrays, for one task's lookups."""
 
     def __init__(self, model: Model):
-        def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-            t = df.select(*names).toArrow()
-            return [t[c].to_numpy() for c in names]
+        def columns(df: DataFrame, key: str, *names: str) -> list[np.ndarray]:
+            t = df.select(key, *[F.col(c).cast("float") for c in names]).toArrow()
+            return [t[c].to_numpy() for c in (key, *names)]
 
-        q, sx, l1, l0 = columns(model.continued, "q", "sx", "l1", "l0")
-        self.continued = self._sorted(_key(q.view("u8"), sx & 255), l1, l0)
+        t = model.continued.select("q", "sx", F.col("l1").cast("float"), F.col("l0").cast("float")).toArrow()
+        q, sx, l1, l0 = (t[c].to_numpy() for c in ("q", "sx", "l1", "l0"))
+        self.continued = self._sorted(_key(q.view("u8"), sx.astype("i8") & 255), l1, l0)
         q, b1, b0 = columns(model.backoff, "q", "b1", "b0")
         self.backoff = self._sorted(q.view("u8"), b1, b0)
         self.lowest = self._sorted(*columns(model.lowest, "sx", "l"))
@@ -206,7 +214,7 @@ def _mixture(l1: np.ndarray, l0: np.ndarray, share: float) -> np.ndarray:
 
 def likelihoods(docs: DataFrame, model: Model, share: float, table: int) -> DataFrame:
     """``RESULT`` for each of ``docs`` (row, doc_id, text)."""
-    if model.continued.count() > table:
+    if model.size > table:
         return _joined(docs, model, share)
     known = docs.sparkSession.sparkContext.broadcast(_Tables(model))
     depth = model.depth
@@ -248,7 +256,7 @@ def _joined(docs: DataFrame, model: Model, share: float) -> DataFrame:
             seen = np.concatenate([seen, h[new]]) if len(seen) < _KNOWN else h
             of, q, sx = spelled(w.only(first[new]), depth)
             i = np.arange(len(of)) - np.searchsorted(of, of)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[new][of].view("i8"), i, q.view("i8"), sx)], names=["w", "i", "q", "sx"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[new][of].view("i8"), i, q.view("i8"), sx.astype("i4"))], names=["w", "i", "q", "sx"])
 
     def has(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, 1):
@@ -261,7 +269,7 @@ def _joined(docs: DataFrame, model: Model, share: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(w.hashes[first].view("i8")), pa.array(times), pa.array(n[of])], names=["row", "w", "times", "n"])
 
     # a word's bytes from several tasks are equal rows
-    spelled_ = docs.select("text").mapInArrow(words, "w long, i long, q long, sx long").distinct()
+    spelled_ = docs.select("text").mapInArrow(words, "w long, i long, q long, sx int").distinct()
     often = spelled_.withColumn("s", F.shiftright("sx", 8)).join(F.broadcast(model.lowest), "sx", "left")
     often = often.join(F.broadcast(model.unseen.withColumnRenamed("l", "l_")), "s", "left").join(model.continued, ["q", "sx"], "left").join(model.backoff, "q", "left")
     base = F.coalesce("l", "l_", F.lit(-float(np.log(_SYMBOLS))))
@@ -296,7 +304,7 @@ def curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return a / scale, b
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, depth: int = 16, discount: float = 0.75, strength: float = 10.0, share: float = 0.01, table: int = 6_000_000, broadcast_labels: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, depth: int = 12, least: int = 2, discount: float = 0.75, strength: float = 10.0, share: float = 0.01, table: int = 6_000_000, broadcast_labels: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, and what they come from. Labels of the held-out fold are not used."""
     docs = texts(docs).withColumn("row", F.monotonically_increasing_id())
     used = labels.select(F.col("doc_id").alias("d"), F.col("toxic").cast("int").alias("toxic")).where("d IS NOT NULL AND toxic IN (0, 1)")
@@ -306,15 +314,15 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int
     tuning = F.pmod(F.xxhash64("d"), F.lit(5)) == 0
     used = used.withColumn("tuning", tuning.cast("int"))
     joined = docs.join(F.broadcast(used) if few else used, F.col("doc_id") == F.col("d"))
-    counts = written(counted(joined.select("text", "toxic", "tuning"), depth), "toxic_counts")
-    most = Model(counts, depth, discount, strength).kept()
+    found = written(histories(joined.select("text", "toxic", "tuning"), depth, least), "histories")
+    most = Model(found, False, depth, least, discount, strength)
     tuned = joined.where("tuning = 1").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "toxic")
     tuned = written(tuned, "toxic_tuning")
     tuned = likelihoods(tuned, most, share, table).join(tuned.select("row", "toxic"), "row")
     bins = tuned.groupBy(F.round("evidence", 3).alias("x")).agg(F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0"))
     a, b = curve(sorted(tuple(r) for r in bins.collect()))
     p = 1 / (1 + F.exp(-(F.lit(a) * F.col("evidence") + F.lit(b))))
-    every = Model(counts.select("q", "sx", (F.col("n1") + F.col("m1")).alias("n1"), (F.col("n0") + F.col("m0")).alias("n0")), depth, discount, strength).kept()
+    every = Model(found, True, depth, least, discount, strength)
     scored = likelihoods(docs, every, share, table)
     out = scored.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), p.alias("score"), "evidence", "toxic_nats", "ordinary_nats")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "toxic_nats", "ordinary_nats")

@@ -62,6 +62,10 @@ def kneser_ney(train, texts, d, m, share, depth):
         for w in set(words(t)):
             for h, s, x in events(w):
                 n[y, h, s, x] += 1
+    often = Counter()
+    for (_, h, _, _), c in n.items():
+        often[h] += c
+    n = Counter({k: c for k, c in n.items() if often[k[1]] > 1})
     seen = {(h, s, x) for _, h, s, x in n}
     follows = Counter((s, x) for _, s, x in seen)
     after = lambda s: [c for (r, _), c in follows.items() if r == s]
@@ -91,8 +95,8 @@ def kneser_ney(train, texts, d, m, share, depth):
 def test_toxicity_is_kneser_ney(docs, spark):
     train = [("zor zorish zor ok", 1), ("Zorer ok, day 9", 0), ("an ok day é", 0), ("aaaaaaaaaaaaaaaa aaa", 1), ("zo", 1)]
     texts = ["zor ok ok ok", "zorish zoru qq zor", "day", "aaaaaaaaaaaaaaaaaaaaaaaa é", "", None, "zor zor", "zor zor"]
-    counts = toxicity.counted(spark.createDataFrame([(*x, 0) for x in train] + [("tuned only", 1, 1)], "text string, toxic int, tuning int"), 5)
-    model = toxicity.Model(counts, 5, 0.75, 2.0).kept()
+    found = toxicity.histories(spark.createDataFrame([(*x, 0) for x in train] + [("tuned zor", 1, 1)], "text string, toxic int, tuning int"), 5, 2)
+    model = toxicity.Model(found, False, 5, 2, 0.75, 2.0)
     expected = kneser_ney(train, texts, 0.75, 2.0, 0.1, 5)
     rows = docs(*texts).selectExpr("doc_id AS row", "doc_id", "coalesce(text, '') AS text")
     for table in (1000, 0):  # in arrays, and by joins

@@ -61,6 +61,10 @@ def test_line_dedup_cases(docs, spark):
     texts = [None, "", long, f"intro\n{long}\n\noutro", long, "\n\n", f"{long}x"]
     found = {x["doc_id"]: x["text"] for x in line_dedup.dedup(docs(*texts)).collect()}
     assert found == {0: None, 1: "", 2: long, 3: "intro\noutro", 4: "", 5: "\n\n", 6: f"{long}x"}
+    named = docs(long, long).selectExpr("'d' || doc_id AS doc_id", "text", "'a' AS n_lines", "'b' AS _line_dedup_row", "5 AS n_removed")
+    assert {(x["doc_id"], x["_line_dedup_row"], x["n_removed"]) for x in line_dedup.dedup(named).collect()} == {("d0", "b", 0), ("d1", "b", 1)}
+    huge = "\n".join(f"{i} {long}" for i in range(3000))
+    assert [x["n_removed"] for x in line_dedup.dedup(docs(huge, huge)).orderBy("doc_id").collect()] == [0, 3000]
     equal = [x["n_removed"] for x in line_dedup.dedup(docs((1, long), (1, long), (None, long))).collect()]
     assert sorted(equal) == [0, 1, 1]
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
