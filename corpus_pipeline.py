@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.llm import decontamination, line_dedup, ngram_join, packing, quality
-from sumfold.llm.common import table, written
+from sumfold.llm.common import free, table, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of runs of lines; a document of nothing else goes."""
-    # the operator's own columns come last, whatever the names before them
-    out = line_dedup.dedup(docs)
-    return out.where("n_removed = 0 OR n_removed < n_lines").drop("n_lines", "n_removed")
+    n_lines, n_removed = counts = tuple(free(docs.columns, x) for x in ("n_lines", "n_removed"))
+    out = line_dedup.dedup(docs, counts=counts)
+    return out.where((F.col(n_removed) == 0) | (F.col(n_removed) < F.col(n_lines))).drop(*counts)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
