@@ -129,7 +129,7 @@ class Model:
     """Log-probabilities as tables, from ``histories`` with or without what is for tuning.
 
     ``lowest`` (sx, l) and ``unseen`` (s, l): continuations of two bytes that were met, and any other;
-    ``continued`` (q, sx, l1, l0): continuations of histories, by class; ``backoff`` (q, b1, b0): what a history adds
+    ``continued`` (q, sx, l1, l0): continuations of histories, by class; ``backoff`` (q, t, b1, b0): what a history adds
     to the lowest one for a byte it was never followed by.
     """
 
@@ -152,7 +152,7 @@ class Model:
         self.lowest, self.unseen = lowest.select("sx", F.log("low").alias("l")), after.select("s", F.log(floor / F.col("cs")).alias("l"))
         mass = lambda i: (d * F.col(f"t{i}") + m) / (F.col(f"h{i}") + m)
         back = d * F.col("t") / (F.col("h1") + F.col("h0"))
-        self.backoff = found.select("q", *[F.log(mass(i) * back).alias(f"b{i}") for i in (1, 0)])
+        self.backoff = found.select("q", "t", *[F.log(mass(i) * back).alias(f"b{i}") for i in (1, 0)])
         n = F.col("n1") + F.col("n0")
         shared = F.greatest(n - d, F.lit(0.0)) / (F.col("h1") + F.col("h0")) + back * F.col("low")
         of = lambda i: F.log(F.greatest(F.col(f"n{i}") - d, F.lit(0.0)) / (F.col(f"h{i}") + m) + mass(i) * F.col("shared"))
@@ -160,52 +160,59 @@ class Model:
 
 
 class _Tables:
-    """A model's sorted arrays, for one task's lookups."""
+    """A model's arrays, in the order of histories and continuations, for one task's lookups."""
 
     def __init__(self, model: Model):
-        def columns(df: DataFrame, key: str, *names: str) -> list[np.ndarray]:
-            t = df.select(key, *[F.col(c).cast("float") for c in names]).toArrow()
-            return [t[c].to_numpy() for c in (key, *names)]
-
-        t = model.continued.select("q", "sx", F.col("l1").cast("float"), F.col("l0").cast("float")).toArrow()
-        q, sx, l1, l0 = (t[c].to_numpy() for c in ("q", "sx", "l1", "l0"))
-        self.continued = self._sorted(_key(q.view("u8"), sx.astype("i8") & 255), l1, l0)
-        q, b1, b0 = columns(model.backoff, "q", "b1", "b0")
-        self.backoff = self._sorted(q.view("u8"), b1, b0)
+        def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+            t = df.select(*names).toArrow()
+            return [t[c].to_numpy() for c in names]
+
+        real = lambda *names: [F.col(c).cast("float").alias(c) for c in names]
+        # sorted where they are, so that the driver only takes them in
+        self.q, self.t, *self.backoff = columns(model.backoff.orderBy("q").select("q", F.col("t").cast("short"), *real("b1", "b0")), "q", "t", "b1", "b0")
+        x = F.col("sx").bitwiseAND(255)
+        self.x, *self.continued = columns(model.continued.orderBy("q", x).select(x.cast("short").alias("x"), *real("l1", "l0")), "x", "l1", "l0")
         self.lowest = self._sorted(*columns(model.lowest, "sx", "l"))
         self.unseen = self._sorted(*columns(model.unseen, "s", "l"))
+        self.places: np.ndarray | None = None
 
     @staticmethod
-    def _sorted(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
-        return keys[order], *(v[order].astype("f4") for v in values)
+        return keys[order], values[order]
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, ...], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table[0]):
+    def _find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys are, and whether they are there."""
+        if not len(known):
             return np.zeros(len(keys), "i8"), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-        return at, table[0][at] == keys
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
 
     def words(self, w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods of each word, by the toxic and the ordinary model."""
+        if self.places is None:  # a history's number and a continuation's byte in one number, 512 to a history
+            kind = "i4" if len(self.q) < 1 << 22 else "i8"
+            self.places = np.repeat(np.arange(len(self.q), dtype=kind), self.t) * np.array(512, kind) + self.x.astype(kind)
         of, q, sx = spelled(w, depth)
-        at, hit = self._find(self.continued, _key(q, sx & 255))
-        out = [np.zeros(len(q)), np.zeros(len(q))]
-        for k in (0, 1):
-            out[k][hit] = self.continued[1 + k][at[hit]]
+        history, met = self._find(self.q, q.view("i8"))
+        at, hit = np.zeros(len(q), "i8"), np.zeros(len(q), bool)
+        at[met], hit[met] = self._find(self.places, (history[met] * 512 + (sx[met] & 255)).astype(self.places.dtype))
         rest = np.flatnonzero(~hit)
-        at, low = self._find(self.lowest, sx[rest])
-        lost, met = self._find(self.unseen, sx[rest] >> 8)
+        low_at, low = self._find(self.lowest[0], sx[rest])
+        s_at, s_met = self._find(self.unseen[0], sx[rest] >> 8)
         base = np.full(len(rest), -np.log(_SYMBOLS))
-        base[met] = self.unseen[1][lost[met]]
-        base[low] = self.lowest[1][at[low]]
-        at, hit = self._find(self.backoff, q[rest])
-        for k in (0, 1):
-            base_k = base.copy()
-            base_k[hit] += self.backoff[1 + k][at[hit]]
-            out[k][rest] = base_k
-        return tuple(np.bincount(of, x, len(w.lengths)) for x in out)
+        base[s_met] = self.unseen[1][s_at[s_met]]
+        base[low] = self.lowest[1][low_at[low]]
+        out = []
+        for continued, backoff in zip(self.continued, self.backoff):
+            ll = np.zeros(len(q))
+            ll[hit] = continued[at[hit]]
+            ll[rest] = base
+            back = rest[met[rest]]
+            ll[back] += backoff[history[back]]
+            out.append(np.bincount(of, ll, len(w.lengths)))
+        return tuple(out)
 
 
 def _mixture(l1: np.ndarray, l0: np.ndarray, share: float) -> np.ndarray:
@@ -228,7 +235,7 @@ def likelihoods(docs: DataFrame, model: Model, share: float, table: int) -> Data
             doc = np.repeat(np.arange(len(n)), n)
             # each spelling once, for all the words spelled so, and for the slices to come
             h, first, which = np.unique(w.hashes, return_index=True, return_inverse=True)
-            at, hit = tables._find(seen, h)
+            at, hit = tables._find(seen[0], h)
             l1, l0 = (np.where(hit, x[at] if len(x) else 0.0, 0.0) for x in seen[1:])
             new = ~hit
             l1[new], l0[new] = tables.words(w.only(first[new]), depth)
@@ -271,7 +278,7 @@ def _joined(docs: DataFrame, model: Model, share: float) -> DataFrame:
     # a word's bytes from several tasks are equal rows
     spelled_ = docs.select("text").mapInArrow(words, "w long, i long, q long, sx int").distinct()
     often = spelled_.withColumn("s", F.shiftright("sx", 8)).join(F.broadcast(model.lowest), "sx", "left")
-    often = often.join(F.broadcast(model.unseen.withColumnRenamed("l", "l_")), "s", "left").join(model.continued, ["q", "sx"], "left").join(model.backoff, "q", "left")
+    often = often.join(F.broadcast(model.unseen.withColumnRenamed("l", "l_")), "s", "left").join(model.continued, ["q", "sx"], "left").join(model.backoff.drop("t"), "q", "left")
     base = F.coalesce("l", "l_", F.lit(-float(np.log(_SYMBOLS))))
     of = lambda i: F.sum(F.coalesce(f"l{i}", base + F.coalesce(f"b{i}", F.lit(0.0)))).alias(f"l{i}")
     by_word = written(often.groupBy("w").agg(of(1), of(0)), "toxic_words")
