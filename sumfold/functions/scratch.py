@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df``, computed now and kept in the folder that ``spark.checkpoint.dir`` names; our own where it is unset."""
+    """``df``, computed now and kept in the folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset it is a folder of our own if all tasks run in the driver's process, as in tests, else an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sumfold-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sumfold-"))
     return df.checkpoint(eager=True)

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from sumfold.operators.factor import Factor
 from sumfold.plans.engine import Mode, queries
 
@@ -35,17 +39,18 @@ class Conditional:
         return any(self.conditional.get(k, v) != v for k, v in self.conditioned.items())
 
 
+def probability_table(network: Sequence[Factor], asked: Sequence[Conditional], mode: Mode = Mode.FUSION, frames: Mapping[str, int] | None = None) -> DataFrame:
+    """(query, probability): what each query asks for, by its place in ``asked``; 0 if it contradicts itself or its condition is impossible."""
+    rows = []
+    for i, (q, joint) in enumerate(zip(asked, queries(network, [q.domain for q in asked], mode, frames=frames))):
+        value = F.col(joint.semiring.payload[0])
+        holds = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in q.conditioned.items()], F.lit(not q.in_conflict()))
+        known = joint.where(q.conditional).df.agg(F.sum(value).alias("all"), F.sum(F.when(holds, value)).alias("both"))
+        possible = F.abs(F.col("all")) >= LEAST
+        rows.append(known.select(F.lit(i).cast("bigint").alias("query"), F.when(possible, F.coalesce("both", F.lit(0.0)) / F.col("all")).otherwise(0.0).alias("probability")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def probabilities(network: Sequence[Factor], asked: Sequence[Conditional], mode: Mode = Mode.FUSION, frames: Mapping[str, int] | None = None) -> list[float]:
-    """The probability each query asks for; 0 if it contradicts itself or its condition is impossible."""
-    joints = queries(network, [q.domain for q in asked], mode, frames=frames)
-    out = []
-    for q, joint in zip(asked, joints):
-        if q.in_conflict():
-            out.append(0.0)
-            continue
-        known = joint.where(q.conditional)
-        value = joint.semiring.payload[0]
-        total = known.project(()).df.first()[value]
-        both = known.where(q.conditioned).project(()).df.first()[value]
-        out.append(both / total if abs(total) >= LEAST else 0.0)
-    return out
+    """The same as numbers."""
+    return [r["probability"] for r in probability_table(network, asked, mode, frames).orderBy("query").collect()] if asked else []

@@ -113,10 +113,19 @@ class Factor:
     def _grouped(self, keys: list[str]) -> "Factor":
         s = self.semiring
         # cast back: nested sums of decimals widen their type
-        sums = [F.coalesce(x, z).cast(t).alias(p) for x, z, t, p in zip(s.add([F.col(p) for p in s.payload]), s.literal(s.zero), s.types, s.payload)]
+        sums = s.add([F.col(p) for p in s.payload])
+        if not keys:  # a sum of nothing; any other null stays, as of decimals that are too large
+            sums = [F.when(F.count("*") == 0, z).otherwise(x) for x, z in zip(sums, s.literal(s.zero))]
+        sums = [x.cast(t).alias(p) for x, t, p in zip(sums, s.types, s.payload)]
         df = self.df.groupBy(*keys).agg(*sums) if keys else self.df.agg(*sums)
         return Factor(s, df, Label(keys), self.rows if keys else 1.0)
 
+    def checked(self) -> "Factor":
+        """The same factor, after a look for assignments with two rows: an error. ``unique`` is else taken on trust."""
+        if not self.is_identity and not self.df.groupBy(*sorted(self.label)).count().where("count > 1").isEmpty():
+            raise ValueError("an assignment has two payloads")
+        return self
+
     # access -------------------------------------------------------------------------------------
 
     def frames(self) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumfold.functions.scratch import settled
+from sumfold.operators.components import components
 
 
 @dataclass(frozen=True)
@@ -96,18 +96,8 @@ class Digraph:
 
     def components(self) -> DataFrame:
         """(id, component): the least vertex that edges lead to, directions aside."""
-        both = settled(self.edges.select("src", "dst").union(self.edges.select("dst", "src")).distinct())
-        known, before = settled(self.vertices.withColumn("component", F.col("id"))), None
-        while True:
-            seen = both.join(known, F.col("dst") == F.col("id")).select(F.col("src").alias("id"), "component")
-            # what a component's least vertex has learnt goes to all of it: paths halve
-            next_ = known.union(seen).groupBy("id").agg(F.min("component").alias("component"))
-            jump = next_.select(F.col("id").alias("component"), F.col("component").alias("further"))
-            known = settled(next_.join(jump, "component", "left").select("id", F.coalesce("further", "component").alias("component")))
-            now = known.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-            if now == before:
-                return known
-            before = now
+        found = components(self.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "id")
+        return self.vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
     def is_connected(self) -> bool:
         """Weakly, by edges: vertices without any do not count."""

@@ -103,6 +103,13 @@ class Matrix:
             raise LabelMismatch("the blocks are not aligned")
         return Matrix(a.semiring, reduce(DataFrame.unionByName, [x.df for x in (a, b, c, d)]), a.rows | c.rows, a.cols | b.cols)
 
+    def is_well_formed(self) -> bool:
+        """Whether every cell is at a place of the labels, and no place has two."""
+        known = F.col("row").isin(list(self.rows)) & F.col("col").isin(list(self.cols))
+        if not self.df.where(~known | F.col("row").isNull() | F.col("col").isNull()).isEmpty():
+            return False
+        return self.df.groupBy("row", "col").count().where("count > 1").isEmpty()
+
     # arithmetic ---------------------------------------------------------------------------------
 
     def add(self, other: "Matrix") -> "Matrix":
@@ -125,6 +132,12 @@ class Matrix:
 
     __matmul__ = multiply
 
+    @staticmethod
+    def multiplied(factors: Iterable["Matrix"]) -> "Matrix | None":
+        """The product of matrices from left to right; of none there is none."""
+        factors = list(factors)
+        return reduce(Matrix.multiply, factors) if factors else None
+
     def _added(self) -> "Matrix":
         s = self.semiring
         sums = [x.cast(t).alias(p) for x, t, p in zip(s.add([F.col(p) for p in s.payload]), s.types, s.payload)]
@@ -133,9 +146,9 @@ class Matrix:
     def quasi_inverse(self, spark: SparkSession) -> "Matrix":
         """The star M* = 1 + M M*.
 
-        For an idempotent semiring by squaring 1 + M as often as the logarithm of the labels;
-        otherwise by eliminating one label after another, M + M[.,k] M[k,k]* M[k,.]. All steps are
-        joins and grouped sums.
+        For an idempotent semiring by squaring 1 + M as often as the logarithm of the labels, if that comes to rest;
+        otherwise, and where a cycle improves without end, by eliminating one label after another,
+        M + M[.,k] M[k,k]* M[k,.]. All steps are joins and grouped sums.
         """
         if not self.is_square():
             raise LabelMismatch("only square matrices have a star")
@@ -148,7 +161,8 @@ class Matrix:
             power, length = self.with_loops_starred().add(unit), 1
             while length < len(self.rows):
                 power, length = power.multiply(power).settled(), 2 * length
-            return power
+            if power.multiply(power).df.exceptAll(power.df).isEmpty():
+                return power
         m = self
         for k in sorted(self.rows):
             m = m.add(m.through(k)).settled()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -83,20 +84,27 @@ def _in_order(answer: DataFrame, sources: Sequence) -> list[float]:
 def distances(graph: Digraph, targets: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, target, distance) from every vertex that reaches a target (id), for all targets in one run.
 
-    Relaxation: each round joins what has become shorter with the edges that lead there, and keeps minima. No
-    matrix is built, and a round moves only what changed. Weights are not negative.
+    Relaxation: each round joins what has become shorter with the edges that lead there, and writes what is shorter than
+    all that is known. No matrix is built; earlier rounds' rows are read, not written again. Weights are not negative.
     """
     edges = settled(graph.cheapest_edges().edges)
     if not edges.where("weight < 0").isEmpty():
         raise ValueError("weights must not be negative")
-    known = settled(targets.select("id", F.col("id").alias("target"), F.lit(0.0).alias("distance")))
-    fresh, done = known, 0
+    fresh = settled(targets.select("id", F.col("id").alias("target"), F.lit(0.0).alias("distance")))
+    rows, done = [fresh], 0
+    known = lambda: reduce(DataFrame.unionByName, rows).groupBy("id", "target").agg(F.min("distance").alias("distance"))
     while not fresh.isEmpty() and (rounds is None or done < rounds):
         step = fresh.join(edges, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "target", (F.col("distance") + F.col("weight")).alias("new"))
         step = step.groupBy("id", "target").agg(F.min("new").alias("new"))
-        both = settled(known.join(step, ["id", "target"], "full").withColumn("better", F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))))
-        best = F.when(F.col("better"), F.col("new")).otherwise(F.col("distance"))
-        known = both.select("id", "target", best.alias("distance"))
-        fresh = both.where("better").select("id", "target", F.col("new").alias("distance"))
+        better = step.join(known(), ["id", "target"], "left").where("distance IS NULL OR new < distance")
+        fresh = settled(better.select("id", "target", F.col("new").alias("distance")))
+        rows.append(fresh)
+        if len(rows) > 16:
+            rows = [settled(known())]
         done += 1
-    return known
+    return known()
+
+
+def single_target_of(graph: Digraph, asked: Query, mode: Mode = Mode.FUSION) -> list[float]:
+    """``single_target`` of one graph, split by ``decomposition`` first."""
+    return single_target(decomposition(graph), asked, mode)

@@ -50,9 +50,12 @@ class Relation:
 
 
 def expanded(factor: Factor) -> DataFrame:
-    """A counted bag's rows, each as often as it counts."""
-    value = factor.semiring.payload[0]
-    return factor.df.withColumn(value, F.explode(F.sequence(F.lit(1), F.col(value).cast("int")))).drop(value)
+    """A counted bag's rows, each as often as it counts, in pieces that fit an array."""
+    value, piece = factor.semiring.payload[0], 1 << 16
+    some = factor.df.where(F.col(value) > 0)
+    pieces = some.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(value) - 1) / piece))))
+    size = F.least(F.lit(piece).cast("bigint"), F.col(value) - piece * F.col("_piece"))
+    return pieces.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop(value, "_piece", "_nth")
 
 
 def answer(tables: Sequence[DataFrame], columns: Collection[str]) -> DataFrame:

@@ -152,6 +152,8 @@ def solve(systems: Sequence[ClosedSystem], wanted: Collection | None = None) ->
     variables follow from those already known, every node included.
     """
     systems = [s for s in systems if not s.is_identity]
+    if not systems:
+        raise UnanswerableQuery("there is no system with a variable")
     if wanted is not None and not is_covered(systems, wanted):
         raise UnanswerableQuery("no system has a variable that is asked for")
     messages = Messages(systems, [], None)

