@@ -1,10 +1,12 @@
 """WARC records in ZIP packages: written by partitions, read by ranges, never extracted.
 
-A package is a ZIP file with stored members: ``archive/data.warc.gz``, whose records are gzip
-members of their own, and ``indexes/index.cdxj``, a line for each record with its offset and
-length. The reader fetches a package's tail, walks the end record (and the ZIP64 one where sizes
-or counts ask for it) and the central directory, finds the stored members, reads the index and
-then only the ranges of the records, many packages and ranges at a time.
+A package is a ZIP file with stored members: ``archive/*.warc.gz``, whose records are gzip
+members of their own (or ``*.warc``), and ``indexes/*.cdxj``, ``*.cdx`` or either as ``.gz``, a line for each record: a key, a time, and JSON with the
+archive's file name, the record's offset and length. The reader fetches a package's tail, walks the end record (and the ZIP64 one where sizes
+or counts ask for it) and the central directory, finds the stored members, reads the indexes and
+then only the ranges of the records, many packages and ranges at a time. An archive that no index names is walked
+from record to record. Packages of others can be read too: records that are neither responses, revisits nor resources are passed over, a
+page id is what our own record ids hold, else null.
 
 Of records with equal payloads of ``least`` bytes or more, that with the smallest page id is a
 response and the others revisit it.
@@ -12,11 +14,12 @@ response and the others revisit it.
 Defined cases: a null html is an empty payload; rows of equal page id and payload are alike (all
 responses or all revisits); a null page id is kept and refers to others like any, but only null ones
 have none to refer to; a null url leaves its header out; an empty table gives no package; other
-columns are ignored.
+columns are ignored; a very long payload is written and read whole, by one task.
 """
 
 from __future__ import annotations
 
+import gzip
 import json
 import struct
 import zipfile
@@ -31,15 +34,23 @@ from pyspark.sql import functions as F
 from sumfold.llm.common import written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+_GATHERED = ("response", "revisit", "resource")
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _fs(path: str):
+    """The file system of a path, and the path there. Hadoop's names of S3 are taken for S3's own."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    scheme, _, rest = path.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else path)
+    except (OSError, ValueError) as e:
+        raise ValueError(f"packages cannot be kept at {path}: local folders, file, s3, s3a, gs, abfs and (with libhdfs) hdfs are known") from e
 
 
 def _safe(value: str) -> str:
@@ -59,17 +70,35 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return z.compress("\r\n".join(head).encode() + body + b"\r\n\r\n") + z.flush()
 
 
-def parsed(raw: bytes) -> tuple:
-    """A row of ``RECORDS`` from one compressed record."""
-    text = zlib.decompress(raw, wbits=31)
+def surt(url: str) -> str:
+    """A URL's key in an index: host reversed, then the path; without white space."""
+    rest = _safe(url.partition("://")[2] or url).lower()
+    host, slash, path = rest.partition("/")
+    name, _, port = host.partition(":")
+    return ",".join(reversed(name.split("."))) + (f":{port}" if port else "") + ")/" + path
+
+
+def parsed(raw: bytes) -> tuple | None:
+    """A row of ``RECORDS`` from one record, compressed or plain; None for other kinds of records."""
+    text = zlib.decompress(raw, wbits=31) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = text.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    http, _, payload = body.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    page = lambda name: int(x) if (x := fields.get(name, "<urn:x-page:>")[12:-1]) else None
-    kind = fields["WARC-Type"]
-    return page("WARC-Record-ID"), fields.get("WARC-Target-URI"), kind, page("WARC-Refers-To"), size, fields["WARC-Payload-Digest"].removeprefix("sha256:"), payload if kind == "response" else None
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    kind = fields.get("warc-type")
+    if kind not in _GATHERED:
+        return None
+    payload = rest[: int(fields["content-length"])]
+    size = len(payload)
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        said = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        size = int(said[0]) if said and kind == "revisit" else len(payload)
+
+    def page(name: str) -> int | None:
+        urn = fields.get(name, "").strip("<>")
+        number = urn.removeprefix("urn:x-page:")
+        return int(number) if urn != number and number.lstrip("-").isdigit() else None
+
+    return page("warc-record-id"), fields.get("warc-target-uri"), kind, page("warc-refers-to"), size, fields.get("warc-payload-digest", "").removeprefix("sha256:"), None if kind == "revisit" else payload
 
 
 class _Package:
@@ -83,14 +112,15 @@ class _Package:
         self.index: list[str] = []
         self.at = 0
 
-    def add(self, page_id: int | None, raw: bytes) -> None:
+    def add(self, url: str | None, digest: str, stamp: str, raw: bytes) -> None:
         self.member.write(raw)
-        self.index.append(json.dumps({"page_id": page_id, "offset": self.at, "length": len(raw)}))
+        place = {"url": url or "", "digest": f"sha256:{digest}", "mime": "text/html", "status": "200", "offset": str(self.at), "length": str(len(raw)), "filename": ARCHIVE.partition("/")[2]}
+        self.index.append(f"{surt(url or '')} {stamp} {json.dumps(place)}")
         self.at += len(raw)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{x}\n" for x in self.index))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{x}\n" for x in sorted(self.index)))
         self.zip.close()
         self.out.close()
         return self.path, self.at, len(self.index)
@@ -110,6 +140,9 @@ def labelled(pages: DataFrame, least: int = 100) -> DataFrame:
 def write(pages: DataFrame, folder: str, least: int = 100, package_bytes: int = 256 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write a record for each page to packages in ``folder``; their paths, sizes and counts."""
 
+    _fs(folder)  # an unknown kind of store fails here
+    stamp = "".join(c for c in date if c.isdigit())
+
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, package, done = TaskContext.get(), 0, None, []
         for batch in batches:
@@ -117,7 +150,7 @@ def write(pages: DataFrame, folder: str, least: int = 100, package_bytes: int =
                 if package is None:
                     # the attempt's number keeps a task that runs again from meeting its earlier files
                     package, n = _Package(f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{n}.wacz"), n + 1
-                package.add(page_id, record(page_id, url, html.encode(), digest, refers_to, date))
+                package.add(url, digest, stamp, record(page_id, url, html.encode(), digest, refers_to, date))
                 if package.at >= package_bytes:
                     done, package = [*done, package.close()], None
         if package is not None:
@@ -185,32 +218,77 @@ def data_start(read, header: int) -> int:
     return header + 30 + sum(struct.unpack_from("<HH", local, 26))
 
 
+def places(get, members: dict[str, tuple[int, int, int]], path: str) -> Iterator[tuple[int, list[int]]]:
+    """(offset in the file, lengths) of runs of records that follow each other, from the indexes or else from the records."""
+    archives = {n: m for n, m in members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))}
+    for name, m in archives.items():
+        if m[0] != zipfile.ZIP_STORED:
+            raise ValueError(f"{name} in {path} is not stored")
+    found: dict[str, set[tuple[int, int]]] = {}
+    for name, (method, size, header) in members.items():
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+            continue
+        data = get(data_start(get, header), size)
+        data = zlib.decompress(data, wbits=-15) if method == zipfile.ZIP_DEFLATED else data
+        data = gzip.decompress(data) if name.endswith(".gz") else data
+        for line in data.decode().splitlines():
+            if "{" in line and not line.startswith("!"):
+                x = json.loads(line[line.index("{") :])
+                if {"filename", "offset", "length"} <= x.keys():
+                    found.setdefault(f"archive/{x['filename'].rpartition('/')[2]}", set()).add((int(x["offset"]), int(x["length"])))
+    for name, (_, size, header) in archives.items():
+        start = data_start(get, header)
+        runs = sorted(found[name]) if name in found else walked(get, start, size, name.endswith(".gz"))
+        begin, end, lengths = 0, 0, []
+        for at, length in runs:
+            if lengths and at != end:
+                yield start + begin, lengths
+                lengths = []
+            begin = begin if lengths else at
+            end = at + length
+            lengths.append(length)
+        if lengths:
+            yield start + begin, lengths
+
+
+def walked(get, start: int, size: int, packed: bool, step: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(offset, length) of an archive's records, read one after another."""
+    at = 0
+    while at < size:
+        if packed:
+            z, n = zlib.decompressobj(wbits=31), 0
+            while not z.eof:
+                block = get(start + at + n, min(step, size - at - n))
+                if not block:
+                    raise ValueError("an archive ends within a record")
+                z.decompress(block)
+                n += len(block) - len(z.unused_data)
+        else:
+            block = get(start + at, min(step, size - at))
+            head, _, _ = block.partition(b"\r\n\r\n")
+            body = next(int(x.partition(b":")[2]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            n = len(head) + 4 + body + 4
+        yield at, n
+        at += n
+
+
 def read(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """Rows of ``RECORDS`` of all packages in ``packages`` (path)."""
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, at = _fs(path)
-                with system.open_input_file(at) as f:
+                system, where = _fs(path)
+                rows = []
+                with system.open_input_file(where) as f:
                     get = lambda offset, length: f.read_at(length, offset)  # noqa: E731, B023
-                    members = directory(get, f.size())
-                    for name in (ARCHIVE, INDEX):
-                        if members[name][0] != zipfile.ZIP_STORED:
-                            raise ValueError(f"{name} in {path} is not stored")
-                    _, size, header = members[INDEX]
-                    index = map(json.loads, get(data_start(get, header), size).decode().splitlines())
-                    start = data_start(get, members[ARCHIVE][2])
-                rows, lengths, first, used = [], [], None, 0
-                for x in index:
-                    first = x["offset"] if first is None else first
-                    lengths.append(x["length"])
-                    used += x["length"]
-                    if used >= range_bytes:
-                        rows.append((path, start + first, lengths))
-                        lengths, first, used = [], None, 0
-                if lengths:
-                    rows.append((path, start + first, lengths))
+                    for at, lengths in places(get, directory(get, f.size()), path):
+                        lo = used = 0
+                        for k, n in enumerate(lengths):
+                            used += n
+                            if used >= range_bytes or k + 1 == len(lengths):
+                                rows.append((path, at, lengths[lo : k + 1]))
+                                at, lo, used = at + used, k + 1, 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64())))], names=["path", "at", "lengths"])
 
@@ -225,7 +303,9 @@ def read(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
                 for n in lengths:
                     rows.append(parsed(block[p : p + n]))
                     p += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in RECORDS.split(", ")])
+                rows = [r for r in rows if r is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
     listed = packages.select("path").repartition("path").mapInArrow(ranges, "path string, at long, lengths array<long>")
     return listed.repartition("path", "at").mapInArrow(records, RECORDS)
@@ -233,6 +313,6 @@ def read(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
 
 def report(records: DataFrame) -> DataFrame:
     """Per record: length and digest of the full payload, as read where the record has it."""
-    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
-    size = F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(F.col("payload_bytes"))
+    digest = F.when(F.col("record_type") != "revisit", F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    size = F.when(F.col("record_type") != "revisit", F.octet_length("payload")).otherwise(F.col("payload_bytes"))
     return records.select("page_id", size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
