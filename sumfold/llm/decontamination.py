@@ -176,33 +176,53 @@ def _bounded(items: DataFrame, words: int):
 
 
 def _joined(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """The same for a benchmark of any size, by a join on fingerprints."""
+    """The same for a benchmark of any size, by a join on fingerprints.
+
+    Texts and items are named by hashes; each different text is compared with each item that it shares a fingerprint with, in
+    rows of their own, and what they hit is put together by text.
+    """
     short = [r[0] for r in items.select(F.expr(r"size(regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0))").alias("n")).where(f"n BETWEEN 1 AND {window - 1}").distinct().collect()]
 
     def prints(batches: Iterator[pa.RecordBatch], all_of: list[int]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, 1):
             w = Words(data, offsets, PLAIN)
+            grams = {n: w.grams(n) for n in {k, *all_of}}
             for d in range(batch.num_rows):
                 lo, hi = int(w.bounds[d]), int(w.bounds[d + 1])
-                found = [w.grams(k)[lo : hi - k + 1][kept(w.grams(k)[lo : max(lo, hi - k + 1)], window - k + 1)]] if hi - lo >= window else []
-                found += [w.grams(n)[lo : hi - n + 1] for n in (all_of if all_of else [hi - lo] if 0 < hi - lo < window else []) if hi - lo >= n]
+                own = grams[k][lo : max(lo, hi - k + 1)]
+                found = [own[kept(own, window - k + 1)]] if hi - lo >= window else []
+                lengths = all_of if all_of else [hi - lo] if 0 < hi - lo < window else []
+                found += [(grams[n] if n in grams else w.grams(n))[lo : hi - n + 1] for n in lengths if hi - lo >= n]
                 h = np.unique(np.concatenate(found)).view("i8") if found else np.zeros(0, "i8")
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[d].as_py()] * len(h), batch.column(0).type), pa.array(h)], names=["key", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[d].as_py()] * len(h), pa.string()), pa.array(h)], names=["key", "h"])
 
     keyed = texts(docs).withColumn("key", F.sha2("text", 256))
-    of_docs = keyed.select("key", "text").mapInArrow(lambda b: prints(b, short), "key string, h long")
-    of_items = items.where("text IS NOT NULL").select(F.to_json(F.struct("item_id", "text")).alias("key"), "text").mapInArrow(lambda b: prints(b, []), "key string, h long")
-    pairs = of_docs.join(of_items.withColumnRenamed("key", "item"), "h").select("key", "item").distinct()
-    candidates = pairs.groupBy("key").agg(F.collect_list("item").alias("items"))
-    both = keyed.join(candidates, "key", "left").select("doc_id", "text", "items")
+    once = keyed.select("key", "text").dropDuplicates(["key"])
+    of_items = items.where("text IS NOT NULL").select(F.sha2("text", 256).alias("item"), F.col("text").alias("item_text"), "item_id")
+    different = of_items.select("item", "item_text").dropDuplicates(["item"])
+    # written, so that the join can split a fingerprint of very many texts
+    ours = written(once.mapInArrow(lambda b: prints(b, short), "key string, h long"), "prints")
+    theirs = written(different.mapInArrow(lambda b: prints(b, []), "key string, h long"), "prints")
+    pairs = ours.join(theirs.withColumnRenamed("key", "item"), "h").select("key", "item").distinct()
+    both = pairs.join(once, "key").join(different, "item").select("key", "text", "item", "item_text")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for batch, data, offsets in slices(batches, 1):
-            for d, listed in enumerate(batch.column(2).to_pylist()):
-                own = [(x.get("item_id"), x["text"]) for x in map(json.loads, listed or [])]
+            keys, ids, own = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            out = []
+            for d in range(batch.num_rows):
                 lo, hi = int(offsets[d]), int(offsets[d + 1])
-                yield Fingerprints(own, window, k).rows([batch.column(0)[d].as_py()], data[lo:hi], np.array([0, hi - lo]))
-
-    return written(both, "candidates").mapInArrow(look, RESULT)
+                at, of = Fingerprints([(ids[d], own[d])], window, k).hits(Words(data[lo:hi], np.array([0, hi - lo]), PLAIN)).get(0, ((), ()))
+                if of:
+                    out.append((keys[d], ids[d], sorted(at)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.list_(pa.int64())))], names=["key", "item", "at"])
+
+    hits = written(both.mapInArrow(look, "key string, item string, at array<long>"), "hits")
+    n_hit = hits.select("key", F.explode("at").alias("at")).distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    named = hits.join(of_items.select("item", "item_id").where("item_id IS NOT NULL"), "item").groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    # a word begins where a word's character follows none
+    words = F.expr(r"size(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0))").cast("long")
+    out = keyed.select("doc_id", "key", words.alias("n_words")).join(n_hit, "key", "left").join(named, "key", "left")
+    hit, ids = F.coalesce("n_hit", F.lit(0)), F.coalesce("ids", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))

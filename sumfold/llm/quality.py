@@ -129,6 +129,19 @@ class Model:
         """The weight of each passage in its document."""
         return self._forward(x, bounds)["a"]
 
+    def gradient(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of labels ``y``, by parameter."""
+        p, f = self.p, self._forward(x, bounds)
+        dy = (f["y"] - y) / len(y)
+        dbag = dy[:, None] * p["c"]
+        dh = f["a"][:, None] * dbag[f["of"]]
+        da = (f["h"] * dbag[f["of"]]).sum(1)
+        de = f["a"] * (da - np.add.reduceat(f["a"] * da, bounds[:-1])[f["of"]])
+        dt, ds = de[:, None] * p["u"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["u"] * f["t"] * f["s"] * (1 - f["s"])
+        dh += dt @ p["V"].T + ds @ p["G"].T
+        dz = dh * (1 - f["h"] ** 2)
+        return {"W": f["z"].T @ dz, "b": dz.sum(0), "V": f["h"].T @ dt, "G": f["h"].T @ ds, "u": (f["t"] * f["s"]).T @ de, "c": f["bag"].T @ dy, "d": dy.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> "Model":
         if len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
@@ -145,16 +158,7 @@ class Model:
             sizes = bounds[pick + 1] - bounds[pick]
             b = np.concatenate([[0], np.cumsum(sizes)])
             rows = np.arange(b[-1]) - np.repeat(b[:-1], sizes) + np.repeat(bounds[pick], sizes)
-            f = self._forward(x[rows], b)
-            dy = ((f["y"] - y[pick]) / len(pick)).astype("f4")
-            dbag = dy[:, None] * p["c"]
-            dh = f["a"][:, None] * dbag[f["of"]]
-            da = (f["h"] * dbag[f["of"]]).sum(1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, b[:-1])[f["of"]])
-            dt, ds = de[:, None] * p["u"] * f["s"] * (1 - f["t"] ** 2), de[:, None] * p["u"] * f["t"] * f["s"] * (1 - f["s"])
-            dh += dt @ p["V"].T + ds @ p["G"].T
-            dz = dh * (1 - f["h"] ** 2)
-            g = {"W": f["z"].T @ dz, "b": dz.sum(0), "V": f["h"].T @ dt, "G": f["h"].T @ ds, "u": (f["t"] * f["s"]).T @ de, "c": f["bag"].T @ dy, "d": dy.sum(keepdims=True)}
+            g = self.gradient(x[rows], b, y[pick])
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, v in g.items():  # Adam
                 m1[k] = 0.9 * m1[k] + 0.1 * v

@@ -84,10 +84,35 @@ def test_orc_order_of_ties_and_nothing(docs, spark, tmp_path):
 
 
 def test_orc_metadata(docs, spark, tmp_path):
-    import pyarrow.orc as orc
-
-    path = orc_tokens.write(docs(*[(i, f"text {i} " * 40) for i in range(3000)]).coalesce(1), str(tmp_path / "orc"), stripe_bytes=1 << 16, row_index_stride=1000)
-    files = [orc.ORCFile(str(f)) for f in (tmp_path / "orc").glob("*.orc")]
-    assert sum(f.nrows for f in files) == 3000 and max(f.nstripes for f in files) >= 1
+    """Stripes of one file hold ranges of ids, with row indexes and Bloom filters; a search passes over the others."""
+    rows = [(i, " ".join(f"w{i * 7 % 9973}x{j}" for j in range(60))) for i in range(12_000)]
+    path = orc_tokens.write(docs(*rows).coalesce(1), str(tmp_path / "orc"), stripe_bytes=1 << 16, row_index_stride=1000)
+    orc, conf = spark._jvm.org.apache.orc, spark._jvm.org.apache.hadoop.conf.Configuration()
+    stripes, streams, total = [], set(), 0
+    for f in (tmp_path / "orc").glob("*.orc"):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), orc.OrcFile.readerOptions(conf))
+        column = 1 + [reader.getSchema().getFieldNames()[i] for i in range(5)].index("doc_id")
+        total += reader.getNumberOfRows()
+        batches = reader.rows()
+        for i, stripe in enumerate(reader.getStripes()):
+            statistics = reader.getStripeStatistics()[i].getColumnStatistics()[column]
+            stripes.append((statistics.getMinimum(), statistics.getMaximum()))
+            found = batches.readStripeFooter(stripe).getStreamsList()
+            streams |= {str(x.getKind()) for x in found if x.getColumn() == column}
+        batches.close()
+    stripes.sort()
+    assert total == 12_000 and len(stripes) >= 4
+    assert all(a[1] < b[0] for a, b in zip(stripes, stripes[1:]))
+    assert "ROW_INDEX" in streams and any(x.startswith("BLOOM_FILTER") for x in streams)
     plan = orc_tokens.read(spark, path, [17])._jdf.queryExecution().toString()
     assert "PushedFilters: [EqualTo(doc_id,17)]" in plan or "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in plan or "In(doc_id" in plan
+    assert [r["doc_id"] for r in orc_tokens.read(spark, path, [17]).collect()] == [17]
+
+
+def test_long_texts(docs, spark, tmp_path):
+    text = "x" * 100_000 + " é word" * 50_000
+    df = docs((4, text), (5, "a"))
+    ids = {i: Encoder(public_path("word_bpe_49k.json")).encode(t) + (2).to_bytes(4, "little") for i, t in ((4, text), (5, "a"))}
+    rows = orc_tokens.positions(orc_tokens.read(spark, orc_tokens.write(df, str(tmp_path / "long")))).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows] == [(i, len(x) // 4, zlib.crc32(x)) for i, x in ids.items()]
+    check_pieces(packing.pack(df).collect(), {4: text, 5: "a"}, "byte_bpe_50k.json", 1, 2048)
