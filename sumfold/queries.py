@@ -239,12 +239,32 @@ def elimination_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "tree bigint, width bigint, valuations bigint, vertices bigint")
 
 
-def fusion_lineitem_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts(spark: SparkSession, sf_dir: str) -> list[Factor]:
+    """Part, supplier and lineitem, which carries the quantity."""
     t = lambda name: _read(spark, sf_dir, name)
     part = Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), MONEY, ["pk", "brand"], [F.lit(1)], unique=True, rows=1e5)
     supplier = Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("snk")), MONEY, ["sk", "snk"], [F.lit(1)], unique=True, rows=1e4)
     lines = Factor.of(t("lineitem").select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("decimal(12,2)").alias("q")), MONEY, ["pk", "sk"], ["q"], rows=4e6)
-    return _named(fusion([part, supplier, lines], ["brand", "snk"]), "quantity")
+    return [part, supplier, lines]
+
+
+def fusion_lineitem_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(fusion(parts(spark, sf_dir), ["brand", "snk"]), "quantity")
+
+
+def fan_out(spark: SparkSession, sf_dir: str) -> list[Factor]:
+    """The lines of one part, twice over one supplier: joined whole, every pair of a supplier's lines is a row."""
+    c, lines, part = counting(), _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
+    out = []
+    for i in (1, 2):
+        out.append(Factor.of(part.select(F.col("p_partkey").alias(f"pk{i}"), F.col("p_brand").alias(f"brand{i}")), c, [f"pk{i}", f"brand{i}"], [F.lit(1)], unique=True, rows=1e5))
+        out.append(Factor.of(lines.select(F.col("l_partkey").alias(f"pk{i}"), F.col("l_suppkey").alias("sk")), c, [f"pk{i}", "sk"], [F.lit(1)], rows=4e6))
+    return out
+
+
+def brands_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of a supplier's lines are of two brands."""
+    return _named(query(fan_out(spark, sf_dir), ["brand1", "brand2"]), "n")
 
 
 QUERIES = {
@@ -277,6 +297,7 @@ QUERIES = {
         frame_lengths,
         elimination_stats,
         fusion_lineitem_parts,
+        brands_by_supplier,
     )
 }
 
@@ -329,6 +350,8 @@ FROM s, generate_series(0, 63) AS g(k) GROUP BY k""",
 UNION ALL SELECT 'rk', count(DISTINCT n_regionkey) FROM nation UNION ALL SELECT 'nation', count(DISTINCT n_name) FROM nation
 UNION ALL SELECT 'ck', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'segment', count(DISTINCT c_mktsegment) FROM customer
 UNION ALL SELECT 'ok', count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'priority', count(DISTINCT o_orderpriority) FROM orders""",
+    "brands_by_supplier": """WITH b AS (SELECT l_suppkey AS s, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT x.brand AS brand1, y.brand AS brand2, CAST(sum(x.n * y.n) AS BIGINT) AS n FROM b AS x JOIN b AS y ON x.s = y.s GROUP BY 1, 2""",
     "fusion_lineitem_parts": "SELECT p_brand AS brand, s_nationkey AS snk, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
 }
 
