@@ -61,18 +61,40 @@ For more information, please refer to <https://unlicense.org>""",
     ),
 ]
 
+#: Identifiers that may stand in a line of their own after SPDX-License-Identifier.
+SPDX = """
+0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0
+CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2
+GFDL-1.3-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only
+LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL OFL-1.1 PostgreSQL Python-2.0 Unlicense WTFPL Zlib
+""".split()
+
 #: (licence id, a line that by itself puts what it stands in under the licence).
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
+    *[(x, f"SPDX-License-Identifier: {x}") for x in SPDX],
+]
+
+#: (licence id, digest of its canonical text). The long licences as published, title included.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "682f610223326633612ef238440bed0327caebdeba9734299fa1ce78a3b0d325"),
+    ("Artistic-1.0-Perl", "c471988a77141ab3bd1edf5e597c88c77313756e7d981da1873ae071d0fff520"),
+    ("CC0-1.0", "adf75bc38a3fbbdcbadda90b262623acbb176db40d4de0538e4bddaa4c7f8d2a"),
+    ("GFDL-1.2", "d5909715e1d099e1cc74df6cb62f0865158d525a276a7c0a84cb14eb3e5f870b"),
+    ("GFDL-1.3", "6cf32dcb0f1feb3df9987983eaa652dffebdfc328d99f14f00b40d2a818cb310"),
+    ("GPL-1.0", "c5db2bbbc0ed118f23557e58e95bb852dd4a74773e6a504abd83772fdb124495"),
+    ("GPL-2.0", "c9503af0fa8274e29573dd63c0d6b41cb810353116d64f2ab0c82346d714a2af"),
+    ("GPL-3.0", "cdbcd84428de40c1dd211792ed8aa90b1ca894cffdb2a90e90d20f40815ab6a0"),
+    ("LGPL-2.0", "e066a50efd2134e782d1fa82b5a4adf6e79202c81211677ca0b3088b3ebef6d9"),
+    ("LGPL-2.1", "92347343b98559e5f5a37f51f6ac7777a2d4cb18d0d123e9e49d44895ae1afe9"),
+    ("LGPL-3.0", "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525"),
+    ("MPL-1.1", "1d361faf2e8ac74a8aaed3be227dfb02bb79d350d13f3e6caceed52c705a0c96"),
+    ("MPL-2.0", "7b8b98423b75704c120934058ef8896be75794ee458b20b3e3a2cf4301e8b9c8"),
 ]

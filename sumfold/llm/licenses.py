@@ -7,7 +7,8 @@ a known notice puts the document under the notice's licence.
 
 Defined cases: null and empty texts, and such without a letter or digit, have the digest of the empty
 text and no licence; licences of notices are listed once, sorted; equal documents get equal rows;
-known texts that are empty match nothing; further columns are not looked at.
+known texts that are empty match nothing; further columns are not looked at; very long texts
+and lines are canonicalised whole, in some ten times their size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumfold.llm.license_texts import NOTICES, TEXTS
+from sumfold.llm.license_texts import DIGESTS, NOTICES, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -125,31 +126,41 @@ def canonical_sql(text: str) -> str:
 def known(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """(digest, license) of known texts; of licences with one text, the first by name."""
     rows = spark.createDataFrame(texts, "license string, text string").select("license", canonical(F.col("text")).alias("c"))
-    return rows.where("c <> ''").groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"))
-
-
-def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame) -> DataFrame:
-    """Per document: canonical digest, the licence whose text it is, the licences its lines declare."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a digest of the text keeps documents of one id apart; equal rows are counted
-    rows = rows.select("doc_id", F.sha2("text", 256).alias("row"), canonical_lines(F.col("text")).alias("lines"))
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.sha2(flat(F.col("lines")), 256).alias("digest")))
-    # flat() of a line: its ends may hold a phrase's space
-    lines = F.transform(F.split("lines", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(flat(x), 256).alias("digest")))
-    parts = rows.select("doc_id", "row", F.explode(F.concat(whole, lines)).alias("part")).select("doc_id", "row", "part.*")
-    listed = texts.select("digest", "license", F.lit(True).alias("whole")).union(notices.select("digest", "license", F.lit(False).alias("whole")))
-    found = parts.join(listed, ["digest", "whole"], "left").where("whole OR license IS NOT NULL")
-    out = found.groupBy("doc_id", "row").agg(
-        F.max(F.when(F.col("whole"), F.col("digest"))).alias("canonical_sha256"),
-        F.max(F.when(F.col("whole"), F.col("license"))).alias("license"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),
-        F.count(F.when(F.col("whole"), 1)).alias("n"),
-    )
-    return out.select("doc_id", "canonical_sha256", "license", "notices", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_")).drop("_")
+    return rows.where("c <> ''").select(F.sha2("c", 256).alias("digest"), "license").distinct()
+
+
+def scan(docs: DataFrame, texts: DataFrame, notices: DataFrame, most_notices: int = 10_000, broadcast_texts: int = 1_000_000) -> DataFrame:
+    """Per document: canonical digest, the licence whose text it is, the licences its lines declare.
+
+    ``texts`` and ``notices`` (digest, license) are tables of any origin. Documents are read once. Up to ``most_notices``
+    notices, counted first, lines are looked up where they are; more are joined with the lines. Up to ``broadcast_texts``
+    texts go to every task, more are joined by a shuffle of digests.
+    """
+    rows = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    digests = lambda: F.transform(F.array_distinct(F.split("lines", "\n")), lambda x: F.sha2(flat(x), 256))
+    rows = rows.select("doc_id", F.sha2(flat(F.col("lines")), 256).alias("canonical_sha256"), digests().alias("found"))
+    known_notices = notices.groupBy("digest").agg(F.array_sort(F.collect_set("license")).alias("ids"))
+    few = known_notices.limit(most_notices + 1).collect()
+    if len(few) <= most_notices:
+        listed = F.array(*[F.lit(r["digest"]) for r in few]).cast("array<string>")
+        ids = F.create_map(*[x for r in few for x in (F.lit(r["digest"]), F.array(*[F.lit(i) for i in r["ids"]]))]) if few else None
+        names = F.flatten(F.transform(F.array_intersect("found", listed), lambda d: F.element_at(ids, d))) if few else F.array().cast("array<string>")
+        rows = rows.select("doc_id", "canonical_sha256", names.alias("names"))
+    else:
+        numbered = rows.withColumn("row", F.monotonically_increasing_id())
+        lines = numbered.select("row", F.explode("found").alias("digest")).join(known_notices, "digest")
+        named = lines.groupBy(F.col("row").alias("at")).agg(F.flatten(F.collect_set("ids")).alias("names"))
+        rows = numbered.join(named, F.col("row") == F.col("at"), "left").select("doc_id", "canonical_sha256", "names")
+    whole = texts.groupBy("digest").agg(F.min("license").alias("license")).withColumnRenamed("digest", "canonical_sha256")
+    whole = F.broadcast(whole) if whole.count() <= broadcast_texts else whole
+    shown = F.array_join(F.array_sort(F.array_distinct(F.coalesce("names", F.array().cast("array<string>")))), ",").alias("notices")
+    return rows.join(whole, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license", shown)
 
 
 def default_texts(spark: SparkSession) -> DataFrame:
-    return known(spark, [(i, t) for i, _, t in TEXTS] + [(i, f"{title}\n\n{t}") for i, title, t in TEXTS])
+    """The texts of ``TEXTS``, with their titles or without, and those of ``DIGESTS``."""
+    short = known(spark, [(i, t) for i, _, t in TEXTS] + [(i, f"{title}\n\n{t}") for i, title, t in TEXTS])
+    return short.unionByName(spark.createDataFrame([(d, i) for i, d in DIGESTS], "digest string, license string"))
 
 
 def default_notices(spark: SparkSession) -> DataFrame:
@@ -163,7 +174,7 @@ def scan_sql() -> str:
     table = lambda rows: f"(SELECT sha256(c) AS digest, min(license) AS license FROM (SELECT license, {canonical_sql('t')} AS c FROM (VALUES {values(rows)}) AS v(license, t)) WHERE c <> '' GROUP BY 1)"
     texts = [(i, t) for i, _, t in TEXTS] + [(i, f"{title}\n\n{t}") for i, title, t in TEXTS]
     return f"""
-WITH t AS {table(texts)}, n AS {table(NOTICES)},
+WITH t AS (SELECT * FROM {table(texts)} UNION ALL SELECT * FROM (VALUES {values([(d, i) for i, d in DIGESTS])}) AS v(digest, license)), n AS {table(NOTICES)},
 d AS (SELECT *, sha256({_flat_sql('lines')}) AS digest FROM (SELECT doc_id, coalesce(text, '') AS text, {_lines_sql('text')} AS lines FROM documents)),
 l AS (SELECT doc_id, text, unnest(string_split(lines, chr(10))) AS line FROM d),
 m AS (SELECT DISTINCT doc_id, text, license FROM (SELECT doc_id, text, sha256({_flat_sql('line')}) AS digest FROM l) JOIN n USING (digest)),

@@ -2,14 +2,16 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, ngram_join
-from sumfold.llm.license_texts import TEXTS
+from sumfold.llm.license_texts import DIGESTS, TEXTS
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -91,6 +93,9 @@ def test_licenses(docs, spark):
     assert len(rows) == 8
     assert found[0] == ("MIT", "") and found[1] == ("MIT", "") and found[2] == (None, "")
     assert found[3] == (None, "Apache-2.0,MIT") and found[4] == found[5] == (None, "") and found[6] == found[7] == (None, "MIT")
+    for options in ({"most_notices": 0}, {"broadcast_texts": 0}):
+        again = licenses.scan(docs(*texts), licenses.default_texts(spark), licenses.default_notices(spark), **options).collect()
+        assert {r["doc_id"]: (r["license"], r["notices"]) for r in again} == found
     empty = hashlib.sha256(b"").hexdigest()
     assert {r["doc_id"] for r in rows if r["canonical_sha256"] == empty} == {4, 5}
     twice = licenses.scan(docs((1, "a"), (1, "a"), (1, "b"), (None, "a")), licenses.default_texts(spark), licenses.default_notices(spark))
@@ -98,6 +103,15 @@ def test_licenses(docs, spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), licenses.default_texts(spark), licenses.default_notices(spark)).count() == 0
 
 
+def test_licenses_as_published(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0", "Artistic": "Artistic-1.0-Perl"}
+    files = [f for f in (os.listdir(folder) if os.path.isdir(folder) else []) if names.get(f, f) in dict(DIGESTS)]
+    rows = [(f, Path(folder, f).read_text().replace("\n", "\r\n").upper()) for f in files]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), licenses.default_texts(spark), licenses.default_notices(spark))
+    assert {r["doc_id"]: r["license"] for r in found.collect()} == {f: names.get(f, f) for f in files}
+
+
 # decontamination --------------------------------------------------------------------------------
 
 
@@ -140,6 +154,10 @@ def test_contamination_of_nothing(docs, spark):
     rows = decontamination.contamination(docs("a b", (None, None), (1, "a b")), none).collect()
     assert len(rows) == 3 and not any(r["contaminated"] for r in rows)
     assert decontamination.contamination(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
+    odd = docs("a b", "c " * 100_000).selectExpr("*", "1 AS _clean_row", "2 AS _clean_text", "3 AS _clean_bad")
+    item = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for words in (0, 1000):
+        assert [tuple(x)[2:] for x in decontamination.clean(odd, item, broadcast_words=words).collect()] == [(1, 2, 3)]
 
 
 def test_winnowing_keeps_a_hash_of_every_span():
@@ -224,6 +242,29 @@ def test_fingerprints(docs):
     assert rows[7]["fingerprint"] == rows[8]["fingerprint"] and rows[7]["near_next"] == 1.0
 
 
+def test_fingerprints_below_the_threshold(docs):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 3, 5, 6, 40, 300, 301, 900)] + ["long " * 20_000]
+    hashes: dict[tuple, str] = {}
+
+    def sketch(text):
+        for s in shingles(text) - set(hashes):
+            hashes[s] = fingerprints.shown(fingerprints.sketches([" ".join(s)], 5, 1)[0])
+        own = {hashes[s] for s in shingles(text)}
+        low = {h for h in own if int(h, 16) < (1 << 40) // 4}
+        return low or set(sorted(own)[:1])
+
+    likeness = lambda a, b: len(a & b) / len(a | b) if a and b else float(a == b)
+    rows = {x["doc_id"]: x for x in fingerprints.neighbours(docs(*texts), scale=4).collect()}
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        changed = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        x = rows[i]
+        assert fingerprints.read(x["fingerprint"]) == sketch(t) and fingerprints.read(x["edited_fingerprint"]) == sketch(changed), i
+        assert x["near_edited"] == pytest.approx(likeness(sketch(t), sketch(changed))) and x["near_next"] == pytest.approx(likeness(sketch(t), sketch(following)))
+
+
 def test_fingerprint_cases(docs, spark):
     one = fingerprints.neighbours(docs("a b c")).first()
     assert one["near_next"] == 1.0 and one["n_chars"] == 5
