@@ -11,7 +11,7 @@ The model is fitted on the driver to the passages of at most ``sample`` labelled
 by a hash of their id; every passage of every document is scored on the executors.
 
 Defined cases: null and empty texts, and such without words, are one passage without content; rows
-of ``labels`` that are null or name no document teach nothing; several labels of a document all
+of ``labels`` that are null or name no document teach nothing; different labels of a document all
 count; without labels of both classes every score is the share of good labels (0.5 without any); equal texts have equal
 scores; an empty table gives no rows; further columns are not looked at; a very long text is encoded by one task, which holds
 some 100 bytes for each byte of it.
@@ -168,15 +168,23 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1, sample: int = 4000, characters: int = 50_000_000) -> Model:
-    """Fit the model to labelled documents outside the held-out fold, in order of a hash: ``sample`` of them and as many ``characters`` at most."""
+    """Fit the model to labelled documents outside the held-out fold, in order of a hash of their ids.
+
+    Only labels that name a document count. At most ``sample`` documents are used, and as many of them as have
+    ``characters`` together at most: one that does not fit is passed over, the next ones may. Of rows that repeat an id one is used.
+    """
     used = labels.select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("quality")).where("d IS NOT NULL AND quality IN (0, 1)")
-    used = used.where(remainder(F.col("d"), folds) != held_out_fold).orderBy(F.xxhash64("d"), "d", "quality").limit(sample)
-    # ``sample`` rows at most
-    chosen = texts(docs).join(F.broadcast(used), F.col("doc_id") == F.col("d")).select("text", "d", "quality")
-    sizes = sorted((r[0], r[1], r[2], r[3]) for r in chosen.select(F.xxhash64("d"), "d", F.length("text"), "quality").collect())
-    total = np.cumsum([r[2] for r in sizes])
-    if len(total) and total[-1] > characters:  # ids, as many as ``sample``
-        chosen = chosen.where(F.col("d").isin([r[1] for r, t in zip(sizes, total) if t <= characters]))
+    used = used.where(remainder(F.col("d"), folds) != held_out_fold).distinct()
+    named = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("h"), F.length("text").alias("n"))
+    least = named.where(F.col("n") <= characters).join(used, F.col("doc_id") == F.col("d")).groupBy("d", "quality").agg(F.min(F.struct("h", "n")).alias("x"))
+    first = least.select(F.xxhash64("d").alias("o"), "d", "quality", "x.h", "x.n").orderBy("o", "d", "quality").limit(sample)
+    picked, total = [], 0
+    for r in sorted(first.collect()):  # ``sample`` rows at most
+        if total + r["n"] <= characters:
+            total += r["n"]
+            picked.append((r["d"], r["quality"], r["h"]))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(picked, "d long, quality int, h long"))
+    chosen = named.join(picked, (F.col("doc_id") == F.col("d")) & (named["h"] == picked["h"])).select("text", "d", "quality").dropDuplicates(["d", "quality"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, 0):

@@ -254,3 +254,24 @@ def test_pipeline_by_stages(spark, tmp_path):
     assert kept[0] > kept[1] and kept[2] > kept[3] and 101 not in kept[2]
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect(), {x["doc_id"]: x["text"] for x in docs.collect()}, "byte_bpe_50k.json", 1, 2048)
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[-1]
+
+
+def test_a_document_beyond_the_bound_is_passed_over(spark, docs):
+    """Whichever comes first by its hash: a text longer than all that may be used does not keep the others out."""
+    texts = ["zxq " * 30_000 if i == 7 else ("good plain words here" if i % 2 else "%% $$ 9 ##") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    for least in (100_000, 50_000):
+        model = quality.train(docs(*texts), labels, characters=least)
+        assert model.constant is None
+        got = {r["doc_id"]: r["score"] for r in quality.score(docs(*texts), model).collect()}
+        assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(40) if i != 7)
+
+
+def test_labels_of_no_document_take_no_place_in_the_sample(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(5000)], "doc_id long, quality int, toxic int")
+    few = docs(*[(4000 + i, "good plain words here" if i % 2 else "%% $$ 9 ##") for i in range(40)])
+    model = quality.train(few, labels, sample=10)
+    assert model.constant is None
+    # rows that repeat an id are one document of the sample
+    again = few.union(few).union(few)
+    assert quality.train(again, labels, sample=10).constant is None
