@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, ngram_join, orc_tokens, packing, quality, toxicity, warc_zip
+from sumfold.llm import decontamination, fingerprints, licenses, line_dedup, merkle, ngram_join, orc_tokens, packing, pii, quality, toxicity, vector_codes, warc_zip
 from sumfold.llm.common import scratch, table
 
 
@@ -50,12 +50,26 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.positions(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op9_ngram_join, op10_orc_tokens)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"), merkle.without_newlines_in_half())
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.spans(table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_licenses, op3_warc_zip, op4_quality, op5_packing, op6_fingerprints, op7_toxicity, op8_decontamination, op9_ngram_join, op10_orc_tokens, op11_merkle, op12_pii, op13_vector_codes)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
     "op2_licenses": licenses.scan_sql(),
+    "op11_merkle": merkle.proofs_sql(),
+    "op13_vector_codes": vector_codes.compressed_sql(),
     "op3_warc_zip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 x AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS f FROM p)
