@@ -10,8 +10,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sumfold.functions.dense import dense
 from sumfold.functions.scratch import settled
 from sumfold.functions.semiring import Semiring
+from sumfold.operators import blocks
 
 
 class LabelMismatch(ValueError):
@@ -146,9 +148,8 @@ class Matrix:
     def quasi_inverse(self, spark: SparkSession) -> "Matrix":
         """The star M* = 1 + M M*.
 
-        For an idempotent semiring by squaring 1 + M as often as the logarithm of the labels, if that comes to rest;
-        otherwise, and where a cycle improves without end, by eliminating one label after another,
-        M + M[.,k] M[k,k]* M[k,.]. All steps are joins and grouped sums.
+        Of semirings with dense blocks in as many rounds as there are blocks of labels (``blocks.star``); of others by eliminating
+        one label after another, M + M[.,k] M[k,k]* M[k,.], in joins and grouped sums.
         """
         if not self.is_square():
             raise LabelMismatch("only square matrices have a star")
@@ -156,17 +157,13 @@ class Matrix:
             raise ValueError(f"{self.semiring.name} has no star")
         if not self.rows:
             return self
-        unit = Matrix.unit(spark, self.semiring, self.rows)
-        if self.semiring.idempotent:
-            power, length = self.with_loops_starred().add(unit), 1
-            while length < len(self.rows):
-                power, length = power.multiply(power).settled(), 2 * length
-            if power.multiply(power).df.exceptAll(power.df).isEmpty():
-                return power
+        if dense(self.semiring) is not None:
+            labels = spark.createDataFrame([(x,) for x in self.rows], f"label {dict(self.df.dtypes)['row']}")
+            return replace(self, df=blocks.star(self.df, self.semiring, labels))
         m = self
         for k in sorted(self.rows):
             m = m.add(m.through(k)).settled()
-        return m.add(unit)
+        return m.add(Matrix.unit(spark, self.semiring, self.rows))
 
     def with_loops_starred(self) -> "Matrix":
         """With each diagonal payload replaced by its star where it has one."""

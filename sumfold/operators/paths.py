@@ -1,4 +1,4 @@
-"""Shortest distances: linear systems over (min, +), and relaxation over edges of any number."""
+"""Shortest distances: linear systems over (min, +), in dense blocks too, and relaxation over edges of any number."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sumfold.functions.scratch import settled
 from sumfold.functions.semiring import min_plus
+from sumfold.operators import blocks
 from sumfold.operators.closed import ClosedSystem
 from sumfold.operators.graph import Digraph
 from sumfold.operators.matrix import Matrix
@@ -71,8 +72,38 @@ def single_target_solved(graphs: Sequence[Digraph], asked: Query) -> list[float]
     return _in_order(solve(_systems(graphs, asked.target), wanted), asked.sources)
 
 
-def single_targets(graphs: Sequence[Digraph], asked: Sequence[Query], mode: Mode = Mode.FUSION) -> list[list[float]]:
-    return [single_target(graphs, q, mode) for q in asked]
+def single_targets(graphs: Sequence[Digraph], asked: Sequence[Query], mode: Mode | None = None) -> list[list[float]]:
+    """One list of distances per query; all targets in one elimination, or with a ``mode`` target by target."""
+    if mode is not None or not asked:
+        return [single_target(graphs, q, mode) for q in asked]
+    graph = Digraph.merged(list(graphs))
+    kind = dict(graph.vertices.dtypes)["id"]
+    targets = graph.edges.sparkSession.createDataFrame([(t,) for t in {q.target for q in asked}], f"id {kind}")
+    sources = {s for q in asked for s in q.sources}
+    # as many rows as there are sources and targets asked for
+    found = {(r["id"], r["target"]): r["distance"] for r in to_targets(graph, targets).where(F.col("id").isin(list(sources))).collect()}
+    return [[found.get((s, q.target), math.inf) for s in q.sources] for q in asked]
+
+
+def _cells(graph: Digraph) -> DataFrame:
+    return graph.edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").cast("double").alias("__value"))
+
+
+def to_targets(graph: Digraph, targets: DataFrame, size: int = blocks.SIZE) -> DataFrame:
+    """(id, target, distance) from every vertex that reaches a target (id): one linear system with a right-hand side per target.
+
+    The system is dense and solved in blocks, so its work grows with the cube of the vertices; it allows negative weights.
+    ``distances`` does better on sparse graphs without these.
+    """
+    right = targets.select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(0.0).alias("__value"))
+    found = blocks.solution(_cells(graph), right, TROPICAL, size)
+    return found.select(F.col("row").alias("id"), F.col("col").alias("target"), F.col("__value").alias("distance"))
+
+
+def all_pairs(graph: Digraph, size: int = blocks.SIZE) -> DataFrame:
+    """(src, dst, distance) of all vertices: the star of the matrix of edges, in blocks."""
+    found = blocks.star(_cells(graph), TROPICAL, graph.vertices.select(F.col("id").alias("label")), size)
+    return found.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("__value").alias("distance"))
 
 
 def _in_order(answer: DataFrame, sources: Sequence) -> list[float]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumfold import algebra_queries
+from sumfold import algebra_queries, system_queries
 from sumfold.functions.semiring import boolean, counting, max_product, min_plus, sum_product
 from sumfold.operators import dft, paths
 from sumfold.operators.factor import Factor
@@ -357,3 +357,5 @@ SELECT x.brand AS brand1, y.brand AS brand2, CAST(sum(x.n * y.n) AS BIGINT) AS n
 
 QUERIES |= algebra_queries.QUERIES
 ORACLES |= algebra_queries.ORACLES
+QUERIES |= system_queries.QUERIES
+ORACLES |= system_queries.ORACLES
