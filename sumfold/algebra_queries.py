@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.functions import radix
-from sumfold.functions.scratch import settled
+from sumfold.functions.scratch import shared_dir
 from sumfold.functions.semiring import counting, min_plus, sum_product
 from sumfold.operators import paths
 from sumfold.operators.bayes import Conditional, probability_table
@@ -42,7 +42,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _scratch(spark: SparkSession) -> str:
     """A new path in the folder that all tasks share."""
     settled(spark.range(1))  # sets the folder where nothing has
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark.range(1))}/{uuid.uuid4().hex}"
 
 
 # factors ----------------------------------------------------------------------------------------
