@@ -41,7 +41,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new path in the folder that all tasks share."""
-    settled(spark.range(1))  # sets the folder where nothing has
     return f"{shared_dir(spark.range(1))}/{uuid.uuid4().hex}"
 
 
