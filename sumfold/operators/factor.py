@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.functions.semiring import Semiring
+from sumfold.plans.measures import active
 
 Label = frozenset
 
@@ -44,6 +45,8 @@ class Factor:
     label: Label = field(default=Label())
     #: Rows, as far as the planner can tell.
     rows: float = 1.0
+    #: The step of a measured run that this is the output of.
+    step: int | None = None
 
     # construction -------------------------------------------------------------------------------
 
@@ -96,7 +99,7 @@ class Factor:
         df = joined.select(*sorted(label), *[x.cast(t).alias(p) for x, t, p in zip(product, s.types, s.payload)])
         # as if shared variables were keys of the smaller side
         rows = max(self.rows, other.rows) if shared else self.rows * other.rows
-        return Factor(s, df, label, rows)
+        return Factor(s, df, label, rows).measured("combine", self, other)
 
     __mul__ = combine
 
@@ -105,7 +108,7 @@ class Factor:
         if self.is_identity or self.label <= set(domain):
             return self
         COUNTERS.projects += 1
-        return self._grouped(sorted(self.label & set(domain)))
+        return self._grouped(sorted(self.label & set(domain))).measured("project", self)
 
     def eliminate(self, variables: Collection[str]) -> "Factor":
         return self.project(self.label - set(variables))
@@ -126,6 +129,14 @@ class Factor:
             raise ValueError("an assignment has two payloads")
         return self
 
+    def measured(self, operator: str, *inputs: "Factor") -> "Factor":
+        """The same factor, as a step of the measured run that is under way, if one is."""
+        recorder = active()
+        if recorder is None or self.is_identity:
+            return self
+        df, step = recorder.observed(operator, self.label, self.df, [f.step for f in inputs])
+        return replace(self, df=df, step=step)
+
     # access -------------------------------------------------------------------------------------
 
     def frames(self) -> dict[str, DataFrame]:

@@ -9,23 +9,28 @@ the query included:
 * MESSAGES passes messages on a binary join tree; each is computed once, however many queries need it.
 
 Plans are built lazily: nothing runs until an answer's DataFrame is acted on, except that the
-results of long eliminations are settled now and then, to keep plans short.
+results of long eliminations are settled now and then, to keep plans short. With ``threads`` messages are computed
+right away, each once, as a table that all that need it read; those that do not wait for each other at the same time.
+``queries_with_stats`` computes the answers and returns what was measured meanwhile.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping, Sequence
-from dataclasses import replace
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from dataclasses import dataclass, replace
 from enum import Enum
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from sumfold.functions.scratch import settled
 from sumfold.operators.closed import ClosedSystem, extended
-from sumfold.operators.factor import Factor, combine_all
+from sumfold.operators.factor import COUNTERS, Factor, combine_all
 from sumfold.plans.elimination import EliminationOrder
-from sumfold.plans.jointree import JoinForest
+from sumfold.plans.jointree import JoinForest, Stats
+from sumfold.plans.measures import Recorder, active, recording
 
 #: Products and projections in one plan before its result is settled.
 SETTLE_AFTER = 24
@@ -49,24 +54,87 @@ def is_covered(factors: Sequence[Any], domain: Collection[str]) -> bool:
     return set(domain) <= set().union(*[f.label for f in factors])
 
 
-def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None) -> list[Any]:
+def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 0) -> list[Any]:
     """The answer to each of ``domains``.
 
-    ``evidence`` fixes values of variables: factors are filtered before they are joined.
+    ``evidence`` fixes values of variables: factors are filtered before they are joined. ``threads``, for messages, is how many
+    are computed at the same time.
     """
-    if not all(is_covered(factors, d) for d in domains):
-        raise UnanswerableQuery("no factor has a variable that is asked for")
-    if not all(domains):
-        raise EmptyQuery("a query needs a variable")
-    factors = [f for f in factors if not f.is_identity]
-    if evidence:
-        factors = [f.where(evidence) for f in factors]
+    factors = _ready(factors, domains, evidence)
+    if not domains:
+        return []
     if mode is Mode.BRUTE_FORCE:
         whole = combine_all(factors)
         return [whole.project(d) for d in domains]
     if mode is Mode.FUSION:
         return [fusion(factors, d, frames) for d in domains]
-    return Messages(factors, domains, frames).answers()
+    messages = Messages(factors, domains, frames)
+    if threads:
+        messages.compute(threads)
+    return messages.answers()
+
+
+def _ready(factors: Sequence[Any], domains: Sequence[Collection[str]], evidence: Mapping[str, Any] | None) -> list[Any]:
+    """The factors that are not neutral, filtered; an error where a query has no answer."""
+    if not all(is_covered(factors, d) for d in domains):
+        raise UnanswerableQuery("no factor has a variable that is asked for")
+    if not all(domains):
+        raise EmptyQuery("a query needs a variable")
+    factors = [f for f in factors if not f.is_identity]
+    return [f.where(evidence) for f in factors] if evidence else factors
+
+
+@dataclass(frozen=True)
+class Run:
+    """Answers with what was measured while they were computed.
+
+    ``recorder`` has the rows of each operator and when each message was computed, ``combines`` and ``projects`` count operators,
+    ``forest`` has the measures of the join forest (None by other modes).
+    """
+
+    answers: list[Any]
+    recorder: Recorder
+    combines: int
+    projects: int
+    forest: Stats | None
+
+
+def queries_with_stats(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 4) -> Run:
+    """The answers to ``domains``, computed now, and the measures of that run.
+
+    Answers are tables; each operator's rows are counted as it runs, once, because what several answers need is a table too.
+    """
+    before, recorder = replace(COUNTERS), Recorder()
+    factors = _ready(factors, domains, evidence)
+    with recording(recorder):
+        factors = [f.measured("factor") if isinstance(f, Factor) else f for f in factors]
+        stats, found = None, []
+        if not domains:
+            pass
+        elif mode is Mode.MESSAGES:
+            messages = Messages(factors, domains, frames)
+            messages.compute(max(1, threads))
+            stats, found = messages.forest.stats(frames), messages.answers()
+        elif mode is Mode.BRUTE_FORCE:
+            whole = combine_all(factors)
+            whole = _settled(whole) if len(domains) > 1 else whole
+            found = [whole.project(d) for d in domains]
+        else:
+            found = [fusion(_once(factors, i), d, frames) for i, d in enumerate(domains)]
+        answers = []
+        for d, f in zip(domains, found):
+            with recorder.timed("answer " + ",".join(sorted(d))):
+                answers.append(_settled(f))
+    recorder.finish()
+    return Run(answers, recorder, COUNTERS.combines - before.combines, COUNTERS.projects - before.projects, stats)
+
+
+def _once(factors: Sequence[Any], nth: int) -> list[Any]:
+    """Factors for a further plan over the same tables: steps of their own, since one observation belongs to one action."""
+    recorder = active()
+    if nth == 0 or recorder is None:
+        return list(factors)
+    return [replace(f, step=None).measured("factor") if isinstance(f, Factor) else f for f in factors]
 
 
 def query(factors: Sequence[Any], domain: Collection[str], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None) -> DataFrame:
@@ -110,13 +178,15 @@ class Messages:
                     self._send(*edge)
         return self.sent[s, r]
 
-    def _send(self, s: int, r: int) -> None:
+    def _send(self, s: int, r: int, settle: bool = True) -> None:
         of, to = self.forest.nodes[s], self.forest.nodes[r]
         inward = [k for k in self.forest.neighbours(s) if k != r]
         product = self._product(s, inward)
         out = product if product.is_identity else product.project(of.domain & to.domain)
-        depth = 1 + sum(self.depth[k, s] for k in inward)
-        if depth > SETTLE_AFTER and not out.is_identity:
+        # what is passed on as it came has no operator
+        came = [of.factor, *[self.sent[k, s] for k in inward]]
+        depth = 0 if any(out is f for f in came) and not any(self.depth[k, s] for k in inward) else 1 + sum(self.depth[k, s] for k in inward)
+        if settle and depth > SETTLE_AFTER and not out.is_identity:
             out, depth = _settled(out), 1
         self.sent[s, r], self.depth[s, r] = out, depth
 
@@ -131,6 +201,40 @@ class Messages:
         """The product of a node's factor and all messages to it."""
         return self._product(i, self.forest.neighbours(i))
 
+    def needed(self) -> list[tuple[int, int]]:
+        """The messages that the answers take, each after those that it takes itself."""
+        tops = [self.forest.query_node(d) for d in self.domains] + [t[-1] for t in self.forest.trees()]
+        return list(dict.fromkeys(edge for top in dict.fromkeys(tops) for edge in self.forest.towards(top)))
+
+    def compute(self, threads: int) -> None:
+        """Compute all messages that are needed, each once, as a table; at the same time those that do not wait for each other."""
+        todo = {(s, r): {(k, s) for k in self.forest.neighbours(s) if k != r} for s, r in self.needed() if (s, r) not in self.sent}
+        recorder = active() or Recorder()
+        some = next(n.factor for n in self.forest.nodes if n.factor is not None)
+        session = (some.df if isinstance(some, Factor) else some.b).sparkSession
+
+        def one(edge: tuple[int, int], out: Any) -> Any:
+            # a pool of its own, which a fair scheduler gives its share
+            session.sparkContext.setLocalProperty("spark.scheduler.pool", f"message {edge[0]}-{edge[1]}")
+            with recorder.timed(f"message {edge[0]}-{edge[1]}"):
+                return _settled(out)
+
+        running: dict[Future, tuple[int, int]] = {}
+        with ThreadPoolExecutor(threads) as pool:
+            while todo or running:
+                ready = [e for e, before in todo.items() if before <= self.sent.keys()]
+                for s, r in ready:
+                    del todo[s, r]
+                    self._send(s, r, settle=False)
+                    out = self.sent[s, r]
+                    if not out.is_identity and self.depth[s, r]:
+                        del self.sent[s, r]
+                        running[pool.submit(inheritable_thread_target(session)(one), (s, r), out)] = (s, r)
+                if running and not any(before <= self.sent.keys() for before in todo.values()):
+                    for done in wait(running, return_when=FIRST_COMPLETED).done:
+                        edge = running.pop(done)
+                        self.sent[edge], self.depth[edge] = done.result(), 0
+
     def answers(self) -> list[Any]:
         out = []
         for d in self.domains:
@@ -151,6 +255,12 @@ def solve(systems: Sequence[ClosedSystem], wanted: Collection | None = None) ->
     Each node keeps its system and the messages from below; from the root down, a node's further
     variables follow from those already known, every node included.
     """
+    return solve_with_stats(systems, wanted).answers[0]
+
+
+def solve_with_stats(systems: Sequence[ClosedSystem], wanted: Collection | None = None) -> Run:
+    """``solve``, with the measures of the run: operators, the join forest, and when each node was extended."""
+    before, recorder = replace(COUNTERS), Recorder()
     systems = [s for s in systems if not s.is_identity]
     if not systems:
         raise UnanswerableQuery("there is no system with a variable")
@@ -165,7 +275,9 @@ def solve(systems: Sequence[ClosedSystem], wanted: Collection | None = None) ->
                 continue
             if x is None:
                 x = node.b.limit(0)
-            more = extended(node, x, known)
-            x = settled(x.unionByName(more))
+            if node.label <= known:
+                continue
+            with recorder.timed(f"node {i}"):
+                x = settled(x.unionByName(extended(node, x, known)))
             known |= node.label
-    return x
+    return Run([x], recorder, COUNTERS.combines - before.combines, COUNTERS.projects - before.projects, forest.stats())

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
-from sumfold.functions.semiring import min_plus
+from sumfold.functions.semiring import counting, min_plus
 from sumfold.operators import blocks, paths
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
+from sumfold.operators.factor import Factor
 from sumfold.operators.matrix import Matrix
+from sumfold.plans.engine import Mode, queries, queries_with_stats
 from sumfold.sources import net
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,65 @@ def net_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = net.read(spark, path)
     asked = [Conditional.of([("status", "F")]), Conditional.of([("flag", "N")], [("status", "F")]), Conditional.of([("priority", "1-URGENT")], [("status", "O")])]
     return probability_table(network.factors(spark), asked, frames=network.frames()).select("query", F.round("probability", 8).alias("probability"))
+
+
+# measured runs ----------------------------------------------------------------------------------
+
+
+def _regions_to_lines(spark: SparkSession, sf_dir: str) -> list[Factor]:
+    """Region to lineitem as factors that count lines; those of lineitem are added up by order."""
+    t, one, c = lambda name: _read(spark, sf_dir, name), [F.lit(1)], counting()
+    return [
+        Factor.of(t("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")), c, ["rk", "region"], one, unique=True),
+        Factor.of(t("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk"), F.col("n_name").alias("nation")), c, ["nk", "rk", "nation"], one, unique=True),
+        Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("segment")), c, ["ck", "nk", "segment"], one, unique=True),
+        Factor.of(t("orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority")), c, ["ok", "ck", "priority"], one, unique=True),
+        Factor.of(t("lineitem").select(F.col("l_orderkey").alias("ok")), c, ["ok"], one),
+    ]
+
+
+_STEPS = [
+    # operator, variables, from which the rows are counted, and the inputs' variables and sources
+    ("combine", "ck,ok,priority", "o", [("ck,ok,priority", "orders_"), ("ok", "lines")]),
+    ("project", "ck,priority", "o", [("ck,ok,priority", "o")]),
+    ("project", "ck", "o", [("ck,priority", "o")]),
+    ("combine", "ck,nk,segment", "c", [("ck,nk,segment", "customers"), ("ck", "o")]),
+    ("project", "nk,segment", "c", [("ck,nk,segment", "c")]),
+    ("project", "nk", "c", [("nk,segment", "c")]),
+    ("project", "rk", "regions", [("region,rk", "regions")]),
+    ("combine", "nation,nk,rk", "n", [("nation,nk,rk", "nations"), ("nk", "c")]),
+    ("project", "nation,rk", "n", [("nation,nk,rk", "n")]),
+    ("combine", "nation,rk", "r", [("nation,rk", "n"), ("rk", "regions")]),
+    ("project", "nation", "r", [("nation,rk", "r")]),
+]
+
+
+def _steps_sql() -> str:
+    count = lambda label, source: f"(SELECT count(*) FROM (SELECT DISTINCT {label} FROM {source}))"
+    some = lambda inputs: "list_sort([" + ", ".join(count(*x) for x in inputs) + "])"
+    rows = " UNION ALL ".join(f"SELECT '{o}' AS operator, '{label}' AS label, array_to_string({some(inputs)}, ',') AS rows_in, CAST({count(label, source)} AS BIGINT) AS rows_out" for o, label, source, inputs in _STEPS)
+    return f"""WITH lines AS (SELECT DISTINCT l_orderkey AS ok FROM lineitem), regions AS (SELECT r_regionkey AS rk, r_name AS region FROM region),
+nations AS (SELECT n_nationkey AS nk, n_regionkey AS rk, n_name AS nation FROM nation), customers AS (SELECT c_custkey AS ck, c_nationkey AS nk, c_mktsegment AS segment FROM customer),
+orders_ AS (SELECT o_orderkey AS ok, o_custkey AS ck, o_orderpriority AS priority FROM orders),
+o AS (SELECT * FROM orders_ JOIN lines USING (ok)), c AS (SELECT * FROM customers WHERE ck IN (SELECT ck FROM o)),
+n AS (SELECT * FROM nations WHERE nk IN (SELECT nk FROM c)), r AS (SELECT * FROM n WHERE rk IN (SELECT rk FROM regions)) {rows}"""
+
+
+@_query(_steps_sql())
+def measured_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in and out of each operator of a fusion over five tables, as observed while it ran."""
+    run = queries_with_stats(_regions_to_lines(spark, sf_dir), [["nation"]], Mode.FUSION)
+    steps = run.recorder.table(spark).where("operator <> 'factor'")
+    return steps.select("operator", "label", F.array_join(F.sort_array("rows_in"), ",").alias("rows_in"), "rows_out")
+
+
+@_query("""WITH l AS (SELECT l_orderkey AS ok, count(*) AS n FROM lineitem GROUP BY 1),
+j AS (SELECT r_name AS region, c_mktsegment AS segment, o_orderpriority AS priority, n FROM l JOIN orders ON ok = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT 'region' AS q, region AS key, CAST(sum(n) AS BIGINT) AS n FROM j GROUP BY region UNION ALL SELECT 'segment', segment, CAST(sum(n) AS BIGINT) FROM j GROUP BY segment
+UNION ALL SELECT 'priority', priority, CAST(sum(n) AS BIGINT) FROM j GROUP BY priority""")
+def messages_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three answers from messages that are computed once each, those that can at the same time."""
+    asked = ["region", "segment", "priority"]
+    found = queries(_regions_to_lines(spark, sf_dir), [[d] for d in asked], Mode.MESSAGES, threads=4)
+    parts = [f.df.select(F.lit(d).alias("q"), F.col(d).alias("key"), F.col("__value").alias("n")) for d, f in zip(asked, found)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
