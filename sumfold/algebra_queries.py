@@ -49,7 +49,7 @@ def _scratch(spark: SparkSession) -> str:
 
 def _flags(spark: SparkSession, sf_dir: str) -> Factor:
     df = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
-    return Factor.of(df, counting(), ["flag", "status"], [F.lit(1)], rows=6)
+    return Factor.of(df, counting(), ["flag", "status"], [F.lit(1)])
 
 
 _FLAGS = "(SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n FROM lineitem GROUP BY 1, 2)"
@@ -91,9 +91,9 @@ def operator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: _read(spark, sf_dir, name)
     one, c = [F.lit(1)], counting()
     tables = [
-        Factor.of(t("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nation")), c, ["nk", "nation"], one, unique=True, rows=25),
-        Factor.of(t("customer").select(F.col("c_nationkey").alias("nk"), F.col("c_custkey").alias("ck")), c, ["nk", "ck"], one, unique=True, rows=1e5),
-        Factor.of(t("orders").select(F.col("o_custkey").alias("ck")), c, ["ck"], one, rows=1e6),
+        Factor.of(t("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_name").alias("nation")), c, ["nk", "nation"], one, unique=True),
+        Factor.of(t("customer").select(F.col("c_nationkey").alias("nk"), F.col("c_custkey").alias("ck")), c, ["nk", "ck"], one, unique=True),
+        Factor.of(t("orders").select(F.col("o_custkey").alias("ck")), c, ["ck"], one),
     ]
     rows = []
     for mode in (Mode.FUSION, Mode.BRUTE_FORCE):
@@ -129,7 +129,7 @@ def _network(spark: SparkSession, sf_dir: str) -> list[Factor]:
     def given(child: str, *parents: str) -> Factor:
         some, all_ = counts.groupBy(child, *parents).agg(F.sum("n").alias("p")), counts.groupBy(*parents).agg(F.sum("n").alias("q"))
         both = some.join(all_, list(parents)) if parents else some.crossJoin(F.broadcast(all_))  # one row
-        return Factor.of(both, s, [child, *parents], [F.col("p") / F.col("q")], unique=True, rows=15)
+        return Factor.of(both, s, [child, *parents], [F.col("p") / F.col("q")], unique=True)
 
     return [given("priority"), given("flag", "priority"), given("status", "flag")]
 

@@ -136,6 +136,39 @@ def distances(graph: Digraph, targets: DataFrame, rounds: int | None = None) ->
     return known()
 
 
+def routes(graph: Digraph, targets: DataFrame) -> DataFrame:
+    """(id, target, distance, hops, route): a shortest way from every vertex to each target (id) that it reaches, as the vertices on it.
+
+    As ``distances``, but what is relaxed carries the number of edges and the next vertex: of ways of one length the one of fewest
+    edges is taken, then the one whose next vertex is least. Ways are put together in as many rounds as the logarithm of their edges.
+    """
+    edges = settled(graph.cheapest_edges().edges.where("src <> dst"))
+    if not edges.where("weight < 0").isEmpty():
+        raise ValueError("weights must not be negative")
+    best = F.min(F.struct("distance", "hops", "via")).alias("best")
+    none = F.lit(None).cast(dict(graph.vertices.dtypes)["id"])
+    fresh = settled(targets.select("id", F.col("id").alias("target"), F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("hops"), none.alias("via")).alias("best")).distinct())
+    rows = [fresh]
+    known = lambda: reduce(DataFrame.unionByName, rows).groupBy("id", "target").agg(F.min("best").alias("best"))
+    while not fresh.isEmpty():
+        step = fresh.join(edges, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "target", (F.col("best.distance") + F.col("weight")).alias("distance"), (F.col("best.hops") + 1).alias("hops"), F.col("dst").alias("via"))
+        step = step.groupBy("id", "target").agg(best).withColumnRenamed("best", "new")
+        better = step.join(known(), ["id", "target"], "left").where("best IS NULL OR new < best")
+        fresh = settled(better.select("id", "target", F.col("new").alias("best")))
+        rows.append(fresh)
+        if len(rows) > 16:
+            rows = [settled(known())]
+    found = settled(known().select("id", "target", "best.*"))
+    longest = found.agg(F.max("hops")).first()[0] or 0
+    ways = found.select("id", "target", F.when(F.col("hops") > 0, F.array("id")).otherwise(F.array().cast(f"array<{dict(found.dtypes)['id']}>")).alias("way"), F.coalesce("via", "id").alias("end"))
+    done = 1
+    while done < longest:
+        further = ways.select(F.col("id").alias("end"), "target", F.col("way").alias("more"), F.col("end").alias("last"))
+        ways = settled(ways.join(further, ["end", "target"]).select("id", "target", F.concat("way", "more").alias("way"), F.col("last").alias("end")))
+        done *= 2
+    return found.join(ways, ["id", "target"]).select("id", "target", "distance", "hops", F.concat("way", F.array("target")).alias("route"))
+
+
 def single_target_of(graph: Digraph, asked: Query, mode: Mode = Mode.FUSION) -> list[float]:
     """``single_target`` of one graph, split by ``decomposition`` first."""
     return single_target(decomposition(graph), asked, mode)

@@ -54,11 +54,11 @@ def is_covered(factors: Sequence[Any], domain: Collection[str]) -> bool:
     return set(domain) <= set().union(*[f.label for f in factors])
 
 
-def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 0) -> list[Any]:
+def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 0, sized: bool = False) -> list[Any]:
     """The answer to each of ``domains``.
 
     ``evidence`` fixes values of variables: factors are filtered before they are joined. ``threads``, for messages, is how many
-    are computed at the same time.
+    are computed at the same time. With ``sized`` plans go by the factors' rows and ``frames``, as ``Statistics.of`` finds them.
     """
     factors = _ready(factors, domains, evidence)
     if not domains:
@@ -67,8 +67,8 @@ def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mo
         whole = combine_all(factors)
         return [whole.project(d) for d in domains]
     if mode is Mode.FUSION:
-        return [fusion(factors, d, frames) for d in domains]
-    messages = Messages(factors, domains, frames)
+        return [fusion(factors, d, frames, sized) for d in domains]
+    messages = Messages(factors, domains, frames, sized)
     if threads:
         messages.compute(threads)
     return messages.answers()
@@ -99,7 +99,7 @@ class Run:
     forest: Stats | None
 
 
-def queries_with_stats(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 4) -> Run:
+def queries_with_stats(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 4, sized: bool = False) -> Run:
     """The answers to ``domains``, computed now, and the measures of that run.
 
     Answers are tables; each operator's rows are counted as it runs, once, because what several answers need is a table too.
@@ -112,7 +112,7 @@ def queries_with_stats(factors: Sequence[Any], domains: Sequence[Collection[str]
         if not domains:
             pass
         elif mode is Mode.MESSAGES:
-            messages = Messages(factors, domains, frames)
+            messages = Messages(factors, domains, frames, sized)
             messages.compute(max(1, threads))
             stats, found = messages.forest.stats(frames), messages.answers()
         elif mode is Mode.BRUTE_FORCE:
@@ -120,7 +120,7 @@ def queries_with_stats(factors: Sequence[Any], domains: Sequence[Collection[str]
             whole = _settled(whole) if len(domains) > 1 else whole
             found = [whole.project(d) for d in domains]
         else:
-            found = [fusion(_once(factors, i), d, frames) for i, d in enumerate(domains)]
+            found = [fusion(_once(factors, i), d, frames, sized) for i, d in enumerate(domains)]
         answers = []
         for d, f in zip(domains, found):
             with recorder.timed("answer " + ",".join(sorted(d))):
@@ -137,15 +137,15 @@ def _once(factors: Sequence[Any], nth: int) -> list[Any]:
     return [replace(f, step=None).measured("factor") if isinstance(f, Factor) else f for f in factors]
 
 
-def query(factors: Sequence[Any], domain: Collection[str], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None) -> DataFrame:
+def query(factors: Sequence[Any], domain: Collection[str], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, sized: bool = False) -> Any:
     """The answer to one query."""
-    return queries(factors, [domain], mode, evidence, frames)[0]
+    return queries(factors, [domain], mode, evidence, frames, sized=sized)[0]
 
 
-def fusion(factors: Sequence[Any], domain: Collection[str], frames: Mapping[str, int] | None = None) -> Any:
+def fusion(factors: Sequence[Any], domain: Collection[str], frames: Mapping[str, int] | None = None, sized: bool = False) -> Any:
     """Eliminate all variables but those of ``domain``, the cheapest first."""
     held = [(f, 1) for f in factors]  # with the operators in each one's plan
-    for variable in EliminationOrder([f.label for f in factors], domain, frames):
+    for variable in EliminationOrder([f.label for f in factors], domain, frames, [f.rows for f in factors] if sized else None):
         bucket = sorted((x for x in held if variable in x[0].label), key=lambda x: x[0].rows)
         held = [x for x in held if variable not in x[0].label]
         new = combine_all([f for f, _ in bucket]).eliminate([variable])
@@ -164,9 +164,9 @@ def _settled(f: Any) -> Any:
 class Messages:
     """Messages on a join tree: from s to r, what s and those behind it say about their common variables."""
 
-    def __init__(self, factors: Sequence[Any], domains: Sequence[Collection[str]], frames: Mapping[str, int] | None = None):
+    def __init__(self, factors: Sequence[Any], domains: Sequence[Collection[str]], frames: Mapping[str, int] | None = None, sized: bool = False):
         self.domains = [frozenset(d) for d in domains]
-        self.forest = JoinForest.build(factors, list(dict.fromkeys(self.domains)), frames)
+        self.forest = JoinForest.build(factors, list(dict.fromkeys(self.domains)), frames, sized)
         self.neutral = replace(factors[0], **({"df": None, "label": frozenset()} if isinstance(factors[0], Factor) else {"m": None, "b": None}))
         self.sent: dict[tuple[int, int], Any] = {}
         self.depth: dict[tuple[int, int], int] = {}

@@ -14,6 +14,7 @@ from sumfold.operators.matrix import Matrix
 from sumfold.operators.relation import Relation, answer
 from sumfold.plans.engine import Mode, fusion, queries, query
 from sumfold.plans.jointree import JoinForest
+from sumfold.plans.statistics import rows_of
 
 MONEY = sum_product("decimal(38,4)")
 
@@ -22,16 +23,22 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _rows(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, int]:
+    """Rows of tables, from their footers."""
+    return rows_of(spark, {name: _read(spark, sf_dir, name) for name in names})
+
+
 def star(spark: SparkSession, sf_dir: str) -> list[Factor]:
     """Region to lineitem as factors; the last one carries the revenue of an order."""
     t = lambda name: _read(spark, sf_dir, name)
+    n = _rows(spark, sf_dir, "nation", "region", "customer", "orders", "lineitem")
     one = [F.lit(1)]
     revenue = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    nation = Factor.of(t("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk"), F.col("n_name").alias("nation")), MONEY, ["nk", "rk", "nation"], one, unique=True, rows=25)
-    region = Factor.of(t("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")), MONEY, ["rk", "region"], one, unique=True, rows=5)
-    customer = Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("segment")), MONEY, ["ck", "nk", "segment"], one, unique=True, rows=1e5)
-    orders = Factor.of(t("orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority")), MONEY, ["ok", "ck", "priority"], one, unique=True, rows=1e6)
-    lines = Factor.of(t("lineitem").select(F.col("l_orderkey").alias("ok"), revenue.alias("rev")), MONEY, ["ok"], ["rev"], rows=4e6)
+    nation = Factor.of(t("nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk"), F.col("n_name").alias("nation")), MONEY, ["nk", "rk", "nation"], one, unique=True, rows=n["nation"])
+    region = Factor.of(t("region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region")), MONEY, ["rk", "region"], one, unique=True, rows=n["region"])
+    customer = Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("segment")), MONEY, ["ck", "nk", "segment"], one, unique=True, rows=n["customer"])
+    orders = Factor.of(t("orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority")), MONEY, ["ok", "ck", "priority"], one, unique=True, rows=n["orders"])
+    lines = Factor.of(t("lineitem").select(F.col("l_orderkey").alias("ok"), revenue.alias("rev")), MONEY, ["ok"], ["rev"], rows=n["lineitem"])
     return [region, nation, customer, orders, lines]
 
 
@@ -64,9 +71,9 @@ def messages_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plain(spark: SparkSession, sf_dir: str, semiring, value_of) -> list[Factor]:
-    t = lambda name: _read(spark, sf_dir, name)
-    customer = Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_mktsegment").alias("segment"), value_of("customer").alias("v")), semiring, ["ck", "segment"], ["v"], unique=True, rows=1e5)
-    orders = Factor.of(t("orders").select(F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority"), value_of("orders").alias("v")), semiring, ["ck", "priority"], ["v"], rows=1e6)
+    t, n = lambda name: _read(spark, sf_dir, name), _rows(spark, sf_dir, "customer", "orders")
+    customer = Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_mktsegment").alias("segment"), value_of("customer").alias("v")), semiring, ["ck", "segment"], ["v"], unique=True, rows=n["customer"])
+    orders = Factor.of(t("orders").select(F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority"), value_of("orders").alias("v")), semiring, ["ck", "priority"], ["v"], rows=n["orders"])
     return [customer, orders]
 
 
@@ -85,10 +92,10 @@ def maxproduct_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bool_nation_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, b = lambda name: _read(spark, sf_dir, name), boolean()
-    supplier = Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("snk")), b, ["sk", "snk"], [F.lit(True)], unique=True, rows=1e4)
-    lines = Factor.of(t("lineitem").select(F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk")), b, ["sk", "pk"], [F.lit(True)], rows=4e6)
-    part = Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), b, ["pk", "brand"], [F.lit(True)], unique=True, rows=1e5)
+    t, b, n = lambda name: _read(spark, sf_dir, name), boolean(), _rows(spark, sf_dir, "supplier", "lineitem", "part")
+    supplier = Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("snk")), b, ["sk", "snk"], [F.lit(True)], unique=True, rows=n["supplier"])
+    lines = Factor.of(t("lineitem").select(F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk")), b, ["sk", "pk"], [F.lit(True)], rows=n["lineitem"])
+    part = Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), b, ["pk", "brand"], [F.lit(True)], unique=True, rows=n["part"])
     return _named(query([supplier, lines, part], ["snk", "brand"]), "reached")
 
 
@@ -107,8 +114,8 @@ def counted_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cross_join_disconnected(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counting()
-    part = Factor.of(_read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")), c, ["brand"], [F.lit(1)], rows=25)
-    region = Factor.of(_read(spark, sf_dir, "region").select(F.col("r_name").alias("region")), c, ["region"], [F.lit(1)], unique=True, rows=5)
+    part = Factor.of(_read(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")), c, ["brand"], [F.lit(1)])
+    region = Factor.of(_read(spark, sf_dir, "region").select(F.col("r_name").alias("region")), c, ["region"], [F.lit(1)], unique=True)
     return _named(query([part, region], ["brand"], Mode.MESSAGES), "n")
 
 
@@ -118,7 +125,7 @@ def evidence_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str) -> Factor:
     df = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
-    return Factor.of(df, counting(), ["flag", "status"], [F.lit(1)], rows=6)
+    return Factor.of(df, counting(), ["flag", "status"], [F.lit(1)])
 
 
 def bn_joint_flag_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,10 +248,10 @@ def elimination_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> list[Factor]:
     """Part, supplier and lineitem, which carries the quantity."""
-    t = lambda name: _read(spark, sf_dir, name)
-    part = Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), MONEY, ["pk", "brand"], [F.lit(1)], unique=True, rows=1e5)
-    supplier = Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("snk")), MONEY, ["sk", "snk"], [F.lit(1)], unique=True, rows=1e4)
-    lines = Factor.of(t("lineitem").select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("decimal(12,2)").alias("q")), MONEY, ["pk", "sk"], ["q"], rows=4e6)
+    t, n = lambda name: _read(spark, sf_dir, name), _rows(spark, sf_dir, "part", "supplier", "lineitem")
+    part = Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), MONEY, ["pk", "brand"], [F.lit(1)], unique=True, rows=n["part"])
+    supplier = Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("snk")), MONEY, ["sk", "snk"], [F.lit(1)], unique=True, rows=n["supplier"])
+    lines = Factor.of(t("lineitem").select(F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"), F.col("l_quantity").cast("decimal(12,2)").alias("q")), MONEY, ["pk", "sk"], ["q"], rows=n["lineitem"])
     return [part, supplier, lines]
 
 
@@ -255,10 +262,11 @@ def fusion_lineitem_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fan_out(spark: SparkSession, sf_dir: str) -> list[Factor]:
     """The lines of one part, twice over one supplier: joined whole, every pair of a supplier's lines is a row."""
     c, lines, part = counting(), _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
+    n = _rows(spark, sf_dir, "lineitem", "part")
     out = []
     for i in (1, 2):
-        out.append(Factor.of(part.select(F.col("p_partkey").alias(f"pk{i}"), F.col("p_brand").alias(f"brand{i}")), c, [f"pk{i}", f"brand{i}"], [F.lit(1)], unique=True, rows=1e5))
-        out.append(Factor.of(lines.select(F.col("l_partkey").alias(f"pk{i}"), F.col("l_suppkey").alias("sk")), c, [f"pk{i}", "sk"], [F.lit(1)], rows=4e6))
+        out.append(Factor.of(part.select(F.col("p_partkey").alias(f"pk{i}"), F.col("p_brand").alias(f"brand{i}")), c, [f"pk{i}", f"brand{i}"], [F.lit(1)], unique=True, rows=n["part"]))
+        out.append(Factor.of(lines.select(F.col("l_partkey").alias(f"pk{i}"), F.col("l_suppkey").alias("sk")), c, [f"pk{i}", "sk"], [F.lit(1)], rows=n["lineitem"]))
     return out
 
 

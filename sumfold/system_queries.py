@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
-from sumfold.functions.semiring import counting, min_plus
+from sumfold.functions.semiring import counting, max_product, min_plus
 from sumfold.operators import blocks, paths
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
 from sumfold.operators.factor import Factor
 from sumfold.operators.matrix import Matrix
-from sumfold.plans.engine import Mode, queries, queries_with_stats
+from sumfold.plans import statistics
+from sumfold.plans.engine import Mode, queries, queries_with_stats, query
+from sumfold.plans.witnesses import witnesses
 from sumfold.sources import net
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +102,54 @@ def matrix_of_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Matrix.from_cells(spark, min_plus(), cells, default=1.0).df.withColumnRenamed("__value", "n")
 
 
+_HOPS = _SUPPLIERS.replace("min(l_quantity) AS w", "1000 * min(l_quantity) + 1 AS w")
+
+
+@_query(f"""WITH RECURSIVE {_HOPS},
+d AS (SELECT a AS id, -b - 1 AS t, w FROM ps UNION ALL SELECT -a - 1, -b - 1, w FROM s4),
+arcs AS (SELECT p AS u, -s - 1 AS v, w FROM e UNION ALL SELECT -s - 1, p, w FROM e),
+nexts AS (SELECT x.id, x.t, min(arcs.v) AS via FROM d AS x JOIN arcs ON arcs.u = x.id JOIN d AS y ON y.id = arcs.v AND y.t = x.t WHERE x.id <> x.t AND x.w = arcs.w + y.w GROUP BY 1, 2),
+r AS (SELECT id, t, id AS at, CAST(id AS VARCHAR) AS route FROM d UNION ALL SELECT r.id, r.t, n.via, r.route || '>' || n.via FROM r JOIN nexts AS n ON n.id = r.at AND n.t = r.t)
+SELECT d.id, d.t AS target, floor(w / 1000) AS distance, CAST(w % 1000 AS BIGINT) AS hops, route FROM d JOIN r ON r.id = d.id AND r.t = d.t AND r.at = r.t""")
+def supplier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest way from every part and supplier to every supplier, vertex by vertex."""
+    graph = parts_and_suppliers(spark, sf_dir)
+    found = paths.routes(graph, graph.vertices.where("id < 0"))
+    return found.withColumn("route", F.array_join(F.transform("route", lambda x: x.cast("string")), ">"))
+
+
+# best assignments -------------------------------------------------------------------------------
+
+
+@_query("""WITH x AS (SELECT c_nationkey AS nk, o_orderpriority AS priority, c_custkey AS ck, o_orderkey AS ok, c_acctbal + o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT nk, priority, ck, ok, round(v, 4) AS cheapest FROM (SELECT *, row_number() OVER (PARTITION BY nk, priority ORDER BY v, ck, ok) AS n FROM x) WHERE n = 1""")
+def cheapest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least sum of balance and price by nation and priority, with the customer and the order that have it."""
+    t = lambda name: _read(spark, sf_dir, name)
+    customer = Factor.of(t("customer").select(F.col("c_custkey").alias("ck"), F.col("c_nationkey").alias("nk"), F.col("c_acctbal").alias("v")), min_plus(), ["ck", "nk"], ["v"], unique=True)
+    orders = Factor.of(t("orders").select(F.col("o_orderkey").alias("ok"), F.col("o_custkey").alias("ck"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("v")), min_plus(), ["ok", "ck", "priority"], ["v"], unique=True)
+    return witnesses([customer, orders], ["nk", "priority"]).select("nk", "priority", "ck", "ok", F.round("__value", 4).alias("cheapest"))
+
+
+@_query("""WITH j AS (SELECT o_orderpriority AS p, l_returnflag AS f, l_linestatus AS s, l_linenumber AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+pf AS (SELECT p, f, count(*) / sum(count(*)) OVER (PARTITION BY p) AS x FROM j GROUP BY 1, 2), fs AS (SELECT f, s, count(*) / sum(count(*)) OVER (PARTITION BY f) AS x FROM j GROUP BY 1, 2),
+sl AS (SELECT s, l, count(*) / sum(count(*)) OVER (PARTITION BY s) AS x FROM j GROUP BY 1, 2),
+m AS (SELECT p, f, s, l, pf.x * fs.x * sl.x AS v FROM pf JOIN fs USING (f) JOIN sl USING (s))
+SELECT p AS priority, f AS flag, s AS status, l AS line, round(v, 8) AS likelihood FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY v DESC) AS n FROM m) WHERE n = 1""")
+def likeliest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each priority the most likely flag, status and line number together, by tables of one given another."""
+    df = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    df = df.select(F.col("o_orderpriority").alias("priority"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"))
+
+    def given(child: str, parent: str) -> Factor:
+        counts = df.groupBy(parent, child).agg(F.count("*").alias("n"))
+        share = counts.join(counts.groupBy(parent).agg(F.sum("n").alias("all")), parent)
+        return Factor.of(share, max_product(), [parent, child], [F.col("n") / F.col("all")], unique=True)
+
+    found = witnesses([given("flag", "priority"), given("status", "flag"), given("line", "status")], ["priority"])
+    return found.select("priority", "flag", "status", "line", F.round("__value", 8).alias("likelihood"))
+
+
 # networks ---------------------------------------------------------------------------------------
 
 
@@ -128,6 +178,53 @@ def net_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probability_table(network.factors(spark), asked, frames=network.frames()).select("query", F.round("probability", 8).alias("probability"))
 
 
+# statistics -------------------------------------------------------------------------------------
+
+#: Tables and their columns, as variables.
+_KNOWN = {
+    "lineitem": {"ok": "l_orderkey", "pk": "l_partkey", "sk": "l_suppkey", "flag": "l_returnflag", "shipped": "l_shipdate"},
+    "orders": {"ok": "o_orderkey", "ck": "o_custkey", "priority": "o_orderpriority"},
+    "customer": {"ck": "c_custkey", "nk": "c_nationkey"},
+    "part": {"pk": "p_partkey", "brand": "p_brand"},
+}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS tab, '{v}' AS variable, count(*) AS rows, count(DISTINCT {c}) AS distinct_values, true AS within FROM {t}" for t, cs in _KNOWN.items() for v, c in cs.items()))
+def frame_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct values of tables' columns, exactly, and whether the sketches' estimates are within 5 % of them."""
+    out = None
+    for name, columns in _KNOWN.items():
+        df = _read(spark, sf_dir, name).select(*[F.col(c).alias(v) for v, c in columns.items()])
+        # in two halves, whose sketches are merged
+        halves = [statistics.sketches(df.where(F.pmod(F.xxhash64(*columns), F.lit(2)) == i), columns) for i in (0, 1)]
+        guess = statistics.estimates(statistics.merged(halves))
+        exact = df.agg(*[F.count_distinct(v).alias(v) for v in columns]).unpivot([], list(columns), "variable", "distinct_values")
+        part = guess.join(exact, "variable").select(F.lit(name).alias("tab"), "variable", "rows", "distinct_values", (F.abs(F.col("distinct") / F.col("distinct_values") - 1) <= 0.05).alias("within"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def flags_apart(spark: SparkSession, sf_dir: str) -> list[Factor]:
+    """Suppliers' and parts' lines, which share the return flag only, with the suppliers' nations and the parts' brands."""
+    t, one, c = lambda name: _read(spark, sf_dir, name), [F.lit(1)], counting()
+    lines = t("lineitem")
+    return [
+        Factor.of(lines.select(F.col("l_returnflag").alias("flag"), F.col("l_suppkey").alias("sk")), c, ["flag", "sk"], one),
+        Factor.of(lines.select(F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("pk")), c, ["flag", "pk"], one),
+        Factor.of(t("supplier").select(F.col("s_suppkey").alias("sk"), F.col("s_nationkey").alias("nation")), c, ["sk", "nation"], one, unique=True),
+        Factor.of(t("part").select(F.col("p_partkey").alias("pk"), F.col("p_brand").alias("brand")), c, ["pk", "brand"], one, unique=True),
+    ]
+
+
+@_query("""WITH s AS (SELECT l_returnflag AS f, s_nationkey AS nation, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+p AS (SELECT l_returnflag AS f, p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT nation, brand, CAST(sum(s.n * p.n) AS BIGINT) AS n FROM s JOIN p USING (f) GROUP BY 1, 2""")
+def planned_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of lines of one flag by nation and brand, the order of elimination chosen by sketches: flags go last, whose join would pair all suppliers and parts."""
+    known = statistics.Statistics.of(flags_apart(spark, sf_dir))
+    return query(known.factors, ["nation", "brand"], frames=known.frames, sized=True).df.withColumnRenamed("__value", "n")
+
+
 # measured runs ----------------------------------------------------------------------------------
 
 
