@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
 from sumfold.functions.semiring import counting, max_product, min_plus
-from sumfold.operators import blocks, paths
+from sumfold.operators import blocks, dft, paths
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
 from sumfold.operators.factor import Factor
@@ -118,6 +118,21 @@ def supplier_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("route", F.array_join(F.transform("route", lambda x: x.cast("string")), ">"))
 
 
+_OUTPUTS = 100
+
+
+@_query(f"""WITH n AS (SELECT CAST(pow(2, greatest(1, floor(log2(max(event_id))) + 1)) AS BIGINT) AS n FROM events),
+y AS (SELECT CAST(j * n // {_OUTPUTS} AS BIGINT) AS i, n FROM n, generate_series(0, {_OUTPUTS - 1}) AS g(j))
+SELECT i, round(sum(value * cos(-2 * pi() * ((event_id * i) % n) / n)), 3) + 0.0::DOUBLE AS re, round(sum(value * sin(-2 * pi() * ((event_id * i) % n) / n)), 3) + 0.0::DOUBLE AS im
+FROM events, y GROUP BY i""")
+def dft_hundred_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred outputs, evenly apart, of the transform of all events' values, without the others."""
+    events = _read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    size = 1 << max(1, int(events.agg(F.max("i")).first()[0]).bit_length())
+    asked = spark.range(_OUTPUTS).select(F.floor(F.col("id") * size / _OUTPUTS).alias("i"))
+    return dft.padded(events, asked).select("i", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
+
+
 # best assignments -------------------------------------------------------------------------------
 
 
