@@ -15,10 +15,11 @@ from sumfold.functions.scratch import settled
 from sumfold.functions.semiring import min_plus
 from sumfold.operators import blocks
 from sumfold.operators.closed import ClosedSystem
-from sumfold.operators.graph import Digraph
+from sumfold.operators.graph import Digraph, UndirectedGraph
 from sumfold.operators.matrix import Matrix
 from sumfold.plans.elimination import EliminationOrder
 from sumfold.plans.engine import Mode, query, solve
+from sumfold.plans.triangulation import triangulated
 
 TROPICAL = min_plus()
 
@@ -55,6 +56,19 @@ def decomposition(graph: Digraph) -> list[Digraph]:
     return [graph.outgoing_subgraph(spark.createDataFrame([(x,) for x in g], f"id {kind}")) for g in groups + ([alone] if alone else [])]
 
 
+def clique_decomposition(graph: Digraph) -> list[Digraph]:
+    """Subgraphs of the maximal cliques of the graph's triangulation, each edge in the first that has both its ends; for small graphs."""
+    edges = graph.cheapest_edges().edges
+    ends = [(r["src"], r["dst"]) for r in edges.select("src", "dst").collect()]
+    vertices = [r["id"] for r in graph.vertices.collect()]
+    _, cliques = triangulated(UndirectedGraph(vertices, [e for e in ends if e[0] != e[1]]))
+    kind, spark = dict(graph.vertices.dtypes)["id"], graph.edges.sparkSession
+    owner = [(s, d, next(i for i, c in enumerate(cliques) if s in c and d in c)) for s, d in ends]
+    owned = edges.join(F.broadcast(spark.createDataFrame(owner, f"src {kind}, dst {kind}, nth int")), ["src", "dst"])
+    of = lambda i, c: Digraph.of(owned.where(F.col("nth") == i).drop("nth"), spark.createDataFrame([(v,) for v in sorted(c)], f"id {kind}"))
+    return [of(i, c) for i, c in enumerate(cliques)]
+
+
 def _systems(graphs: Sequence[Digraph], target: Any) -> list[ClosedSystem]:
     return [system(g, frozenset(r["id"] for r in g.vertices.collect()), target) for g in graphs]
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumfold.functions.scratch import settled
 from sumfold.functions.semiring import counting
 from sumfold.operators.factor import Factor
 
@@ -53,16 +54,64 @@ def expanded(factor: Factor) -> DataFrame:
     """A counted bag's rows, each as often as it counts, in pieces that fit an array."""
     value, piece = factor.semiring.payload[0], 1 << 16
     some = factor.df.where(F.col(value) > 0)
-    pieces = some.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(value) - 1) / piece))))
-    size = F.least(F.lit(piece).cast("bigint"), F.col(value) - piece * F.col("_piece"))
-    return pieces.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop(value, "_piece", "_nth")
+    nth, part = (_free(some.columns, x) for x in ("_nth", "_piece"))
+    pieces = some.withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(value) - 1) / piece))))
+    size = F.least(F.lit(piece).cast("bigint"), F.col(value) - piece * F.col(part))
+    return pieces.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("bigint"), size))).drop(value, part, nth)
 
 
-def answer(tables: Sequence[DataFrame], columns: Collection[str]) -> DataFrame:
-    """The bag of ``columns`` in the natural join of ``tables``, counted bucket by bucket.
+def _free(columns: Collection[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-    Multiplicities are pushed through the joins, so that no intermediate repeats rows.
+
+def join_tree(labels: Sequence[Collection[str]]) -> list[tuple[int, int]]:
+    """(child, parent) of a forest over tables, children before their parents, that hangs together those that share most columns.
+
+    If the natural join is acyclic, this is one of its join trees.
     """
+    sets, edges, left = [frozenset(x) for x in labels], [], set(range(len(labels)))
+    while left:
+        inside = [min(left, key=lambda i: (-len(sets[i]), i))]
+        left -= set(inside)
+        while True:
+            shared, child, parent = max(((len(sets[i] & sets[j]), -i, -j) for i in left for j in inside), default=(0, 0, 0))
+            if not shared:
+                break
+            edges.append((-child, -parent))
+            inside.append(-child)
+            left.discard(-child)
+    return edges[::-1]
+
+
+def reduced(tables: Sequence[DataFrame]) -> list[DataFrame]:
+    """The tables without rows that have no part in their natural join, by semi joins up and down a join tree.
+
+    Up the tree a table loses what its children's keys do not have, down it what its parent's do not; only keys are written. If the join is
+    acyclic nothing is left that dangles, otherwise some may be. Tables without a column in common do not reduce each other.
+    """
+    out, tree = list(tables), join_tree([t.columns for t in tables])
+    for ways in (tree, [(parent, child) for child, parent in reversed(tree)]):
+        for source, target in ways:
+            shared = sorted(set(out[source].columns) & set(out[target].columns))
+            keys = settled(out[source].select(*shared).distinct())
+            out[target] = out[target].join(keys, shared, "left_semi").select(*out[target].columns)
+    return out
+
+
+def counts(tables: Sequence[DataFrame], columns: Collection[str], reduce: bool = False) -> Factor:
+    """How often each assignment of ``columns`` is in the natural join of ``tables``; with ``reduce`` dangling rows go first."""
     from sumfold.plans.engine import query
 
-    return expanded(query([Relation(t).counted() for t in tables], columns)).select(*sorted(columns))
+    return query([Relation(t).counted() for t in (reduced(tables) if reduce else tables)], columns)
+
+
+def answer(tables: Sequence[DataFrame], columns: Collection[str], reduce: bool = False) -> DataFrame:
+    """The bag of ``columns`` in the natural join of ``tables``, counted bucket by bucket.
+
+    Multiplicities are pushed through the joins, so that no intermediate repeats rows.
+    """
+    return expanded(counts(tables, columns, reduce)).select(*sorted(columns))

@@ -54,11 +54,12 @@ def is_covered(factors: Sequence[Any], domain: Collection[str]) -> bool:
     return set(domain) <= set().union(*[f.label for f in factors])
 
 
-def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 0, sized: bool = False) -> list[Any]:
+def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mode = Mode.FUSION, evidence: Mapping[str, Any] | None = None, frames: Mapping[str, int] | None = None, threads: int = 0, sized: bool = False, binary: bool = True) -> list[Any]:
     """The answer to each of ``domains``.
 
     ``evidence`` fixes values of variables: factors are filtered before they are joined. ``threads``, for messages, is how many
     are computed at the same time. With ``sized`` plans go by the factors' rows and ``frames``, as ``Statistics.of`` finds them.
+    Without ``binary`` messages pass over a forest whose nodes unite all that mention a variable at once.
     """
     factors = _ready(factors, domains, evidence)
     if not domains:
@@ -68,7 +69,7 @@ def queries(factors: Sequence[Any], domains: Sequence[Collection[str]], mode: Mo
         return [whole.project(d) for d in domains]
     if mode is Mode.FUSION:
         return [fusion(factors, d, frames, sized) for d in domains]
-    messages = Messages(factors, domains, frames, sized)
+    messages = Messages(factors, domains, frames, sized, binary)
     if threads:
         messages.compute(threads)
     return messages.answers()
@@ -164,9 +165,9 @@ def _settled(f: Any) -> Any:
 class Messages:
     """Messages on a join tree: from s to r, what s and those behind it say about their common variables."""
 
-    def __init__(self, factors: Sequence[Any], domains: Sequence[Collection[str]], frames: Mapping[str, int] | None = None, sized: bool = False):
+    def __init__(self, factors: Sequence[Any], domains: Sequence[Collection[str]], frames: Mapping[str, int] | None = None, sized: bool = False, binary: bool = True):
         self.domains = [frozenset(d) for d in domains]
-        self.forest = JoinForest.build(factors, list(dict.fromkeys(self.domains)), frames, sized)
+        self.forest = JoinForest.build(factors, list(dict.fromkeys(self.domains)), frames, sized, binary)
         self.neutral = replace(factors[0], **({"df": None, "label": frozenset()} if isinstance(factors[0], Factor) else {"m": None, "b": None}))
         self.sent: dict[tuple[int, int], Any] = {}
         self.depth: dict[tuple[int, int], int] = {}

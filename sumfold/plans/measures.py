@@ -11,9 +11,10 @@ import threading
 import time
 import uuid
 from collections.abc import Collection, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,8 @@ class Recorder:
         """Read what was observed, waiting a bounded time for what never ran."""
 
         def read(step: Step) -> None:
-            step.rows = step.observation.get["rows"]
+            with suppress(Py4JJavaError):  # an action that left the step out has no row for it
+                step.rows = step.observation.get["rows"]
 
         threads = [threading.Thread(target=read, args=(s,), daemon=True) for s in self.steps if s.rows is None]
         for t in threads:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
 from sumfold.functions.semiring import counting, max_product, min_plus
-from sumfold.operators import blocks, dft, paths
+from sumfold.operators import blocks, dft, paths, relation
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
 from sumfold.operators.factor import Factor
 from sumfold.operators.matrix import Matrix
 from sumfold.plans import statistics
-from sumfold.plans.engine import Mode, queries, queries_with_stats, query
+from sumfold.plans.engine import Mode, queries, queries_with_stats, query, solve
 from sumfold.plans.witnesses import witnesses
 from sumfold.sources import net
 
@@ -133,6 +133,55 @@ def dft_hundred_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dft.padded(events, asked).select("i", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
 
 
+# relations --------------------------------------------------------------------------------------
+
+
+def eleven_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Lines with order, part, supplier and customer, the nations and regions of both, the customers' events and the parts' flags.
+
+    Suppliers are of one region and customers of another, so that most rows of the large tables dangle.
+    """
+    t = lambda name, **columns: _read(spark, sf_dir, name).select(*[F.col(c).alias(v) for v, c in columns.items()])
+    return [
+        t("lineitem", ok="l_orderkey", pk="l_partkey", sk="l_suppkey"),
+        t("orders", ok="o_orderkey", ck="o_custkey", priority="o_orderpriority"),
+        t("part", pk="p_partkey", brand="p_brand"),
+        t("supplier", sk="s_suppkey", sn="s_nationkey"),
+        t("nation", sn="n_nationkey", sr="n_regionkey"),
+        t("region", sr="r_regionkey", sregion="r_name").where("sregion = 'ASIA'"),
+        t("customer", ck="c_custkey", cn="c_nationkey", segment="c_mktsegment"),
+        t("nation", cn="n_nationkey", cr="n_regionkey"),
+        t("region", cr="r_regionkey", cregion="r_name").where("cregion = 'EUROPE'"),
+        t("events", ck="user_id", kind="event_type"),
+        t("lineitem", pk="l_partkey", flag="l_returnflag"),
+    ]
+
+
+@_query("""WITH f AS (SELECT l_partkey AS pk, l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1, 2), v AS (SELECT user_id AS ck, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT o_orderpriority AS priority, c_mktsegment AS segment, kind, flag, CAST(sum(f.n * v.n) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation AS sn ON s_nationkey = sn.n_nationkey JOIN region AS sr ON sn.n_regionkey = sr.r_regionkey AND sr.r_name = 'ASIA'
+JOIN customer ON o_custkey = c_custkey JOIN nation AS cn ON c_nationkey = cn.n_nationkey JOIN region AS cr ON cn.n_regionkey = cr.r_regionkey AND cr.r_name = 'EUROPE'
+JOIN v ON v.ck = c_custkey JOIN f ON f.pk = l_partkey GROUP BY 1, 2, 3, 4""")
+def relation_of_eleven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four columns of the natural join of eleven tables, as counts, dangling rows removed first."""
+    return relation.counts(eleven_tables(spark, sf_dir), ["priority", "segment", "kind", "flag"], reduce=True).df.withColumnRenamed("__value", "n")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{v}' AS variable, {c} AS key, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY {c}" for v, c in (("segment", "c_mktsegment"), ("priority", "o_orderpriority"))))
+def messages_of_many_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers over a forest that unites all tables of a variable in one node."""
+    found = queries(_regions_to_lines(spark, sf_dir), [["segment"], ["priority"]], Mode.MESSAGES, binary=False)
+    parts = [f.df.select(F.lit(v).alias("variable"), F.col(v).alias("key"), F.col("__value").alias("n")) for v, f in zip(("segment", "priority"), found)]
+    return parts[0].unionByName(parts[1])
+
+
+@_query(f"WITH {_squared('n', f'SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2', 5)} SELECT a AS id, w AS distance FROM n5 WHERE b = 7")
+def distances_by_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to one nation, the graph split into the cliques of its triangulation."""
+    graphs = paths.clique_decomposition(_trade(spark, sf_dir).cheapest_edges())
+    return solve(paths._systems(graphs, 7)).select(F.col("row").alias("id"), F.col("__value").alias("distance"))
+
+
 # best assignments -------------------------------------------------------------------------------
 
 
