@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sumfold.functions.scratch import settled
 from sumfold.functions.semiring import min_plus
-from sumfold.operators import blocks
+from sumfold.operators import blocks, regions
 from sumfold.operators.closed import ClosedSystem
 from sumfold.operators.graph import Digraph, UndirectedGraph
 from sumfold.operators.matrix import Matrix
@@ -114,6 +114,16 @@ def to_targets(graph: Digraph, targets: DataFrame, size: int = blocks.SIZE) -> D
     return found.select(F.col("row").alias("id"), F.col("col").alias("target"), F.col("__value").alias("distance"))
 
 
+def to_targets_by_regions(graph: Digraph, targets: DataFrame, size: int = regions.SIZE, small: int = regions.SMALL) -> DataFrame:
+    """The same as ``to_targets`` for large sparse graphs: cut into regions of ``size`` vertices, only separators are combined.
+
+    Rounds go by the logarithm of a region's size and the number of blocks of ``small`` separators, not by the edges of the longest way.
+    """
+    right = targets.select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(0.0).alias("__value"))
+    found = regions.solution(_cells(graph), right, TROPICAL, size, small)
+    return found.select(F.col("row").alias("id"), F.col("col").alias("target"), F.col("__value").alias("distance"))
+
+
 def all_pairs(graph: Digraph, size: int = blocks.SIZE) -> DataFrame:
     """(src, dst, distance) of all vertices: the star of the matrix of edges, in blocks."""
     found = blocks.star(_cells(graph), TROPICAL, graph.vertices.select(F.col("id").alias("label")), size)

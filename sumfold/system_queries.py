@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
 from sumfold.functions.semiring import counting, max_product, min_plus
-from sumfold.operators import blocks, dft, paths, relation
+from sumfold.operators import blocks, dft, paths, regions, relation
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
 from sumfold.operators.factor import Factor
@@ -133,6 +133,26 @@ def dft_hundred_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dft.padded(events, asked).select("i", (F.round("re", 3) + 0.0).alias("re"), (F.round("im", 3) + 0.0).alias("im"))
 
 
+# regions ----------------------------------------------------------------------------------------
+
+
+@_query("""WITH v AS (SELECT l_partkey AS p, 8 * l_orderkey + l_linenumber AS id, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2)
+SELECT concat(p, '/', id) AS line, coalesce(sum(w) OVER (PARTITION BY p ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS distance FROM v""")
+def distances_by_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every line to the last line of its part, over the lines of the part between them: twice as many edges as lines, cut into regions."""
+    lines = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p"), (8 * F.col("l_orderkey") + F.col("l_linenumber")).alias("n")).agg(F.max("l_quantity").alias("w"))
+    by_part = Window.partitionBy("p").orderBy("n")
+    following = lambda k: F.struct(F.lead("id", k).over(by_part).alias("dst"), F.lead("w", k).over(by_part).alias("w"))
+    lines = lines.select("p", "n", "w", F.concat_ws("/", "p", "n").alias("id"))
+    lines = lines.select("p", "id", "w", following(1).alias("one"), following(2).alias("two"))
+    steps = lines.select(F.col("id").alias("row"), F.col("one.dst").alias("col"), F.col("one.w").alias("__value"))
+    # over the next one, which is a little longer
+    leaps = lines.select(F.col("id").alias("row"), F.col("two.dst").alias("col"), (F.col("one.w") + F.col("two.w") + 1).alias("__value"))
+    last = lines.where("one.dst IS NULL").select(F.col("id").alias("row"), F.lit("last").alias("col"), F.lit(0.0).alias("__value"))
+    found = regions.solution(steps.unionByName(leaps).where("col IS NOT NULL"), last, min_plus(), size=64)
+    return found.select(F.col("row").alias("line"), F.col("__value").alias("distance"))
+
+
 # relations --------------------------------------------------------------------------------------
 
 
