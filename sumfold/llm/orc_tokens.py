@@ -7,7 +7,8 @@ files' stripes by their statistics, and Spark deals a file's stripes out to seve
 
 Defined cases: null and empty texts have the end id alone; documents stand in ascending
 ``doc_id`` order, nulls first, equal ids in order of their texts, equal rows as often as they
-came; an empty table gives files without rows; other columns are not looked at.
+came; an empty table gives files without rows; other columns are not looked at; a very long text is encoded whole by one
+task, which holds some 20 bytes for each byte of it, and its ids are one row of the file.
 """
 
 from __future__ import annotations
