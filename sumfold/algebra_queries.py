@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold.functions import radix
-from sumfold.functions.scratch import shared_dir
+from sumfold.functions.scratch import settled, shared_dir
 from sumfold.functions.semiring import counting, min_plus, sum_product
 from sumfold.operators import paths
 from sumfold.operators.bayes import Conditional, probability_table
@@ -124,7 +124,7 @@ def _network(spark: SparkSession, sf_dir: str) -> list[Factor]:
     """P(priority), P(flag | priority), P(status | flag), counted from all lines."""
     df = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     counts = df.groupBy(F.col("o_orderpriority").alias("priority"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.count("*").cast("double").alias("n"))
-    s = sum_product()
+    counts, s = settled(counts), sum_product()  # lines are read once
 
     def given(child: str, *parents: str) -> Factor:
         some, all_ = counts.groupBy(child, *parents).agg(F.sum("n").alias("p")), counts.groupBy(*parents).agg(F.sum("n").alias("q"))

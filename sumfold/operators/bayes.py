@@ -41,14 +41,19 @@ class Conditional:
 
 def probability_table(network: Sequence[Factor], asked: Sequence[Conditional], mode: Mode = Mode.FUSION, frames: Mapping[str, int] | None = None) -> DataFrame:
     """(query, probability): what each query asks for, by its place in ``asked``; 0 if it contradicts itself or its condition is impossible."""
-    rows = []
-    for i, (q, joint) in enumerate(zip(asked, queries(network, [q.domain for q in asked], mode, frames=frames))):
+    domains = list(dict.fromkeys(q.domain for q in asked))
+    parts = []
+    for d, joint in zip(domains, queries(network, domains, mode, frames=frames)):
         value = F.col(joint.semiring.payload[0])
-        holds = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in q.conditioned.items()], F.lit(not q.in_conflict()))
-        known = joint.where(q.conditional).df.agg(F.sum(value).alias("all"), F.sum(F.when(holds, value)).alias("both"))
-        possible = F.abs(F.col("all")) >= LEAST
-        rows.append(known.select(F.lit(i).cast("bigint").alias("query"), F.when(possible, F.coalesce("both", F.lit(0.0)) / F.col("all")).otherwise(0.0).alias("probability")))
-    return reduce(DataFrame.unionByName, rows)
+        # all questions of these variables in one pass over their joint table
+        sums = []
+        for i, q in ((i, q) for i, q in enumerate(asked) if q.domain == d):
+            known = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in q.conditional.items()], F.lit(True))
+            holds = reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in q.conditioned.items()], known & F.lit(not q.in_conflict()))
+            sums.append(F.struct(F.lit(i).cast("bigint").alias("query"), F.sum(F.when(known, value)).alias("all"), F.sum(F.when(holds, value)).alias("both")))
+        parts.append(joint.df.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*"))
+    possible = F.abs(F.col("all")) >= LEAST
+    return reduce(DataFrame.unionByName, parts).select("query", F.when(possible, F.coalesce("both", F.lit(0.0)) / F.col("all")).otherwise(0.0).alias("probability"))
 
 
 def probabilities(network: Sequence[Factor], asked: Sequence[Conditional], mode: Mode = Mode.FUSION, frames: Mapping[str, int] | None = None) -> list[float]:
