@@ -20,3 +20,23 @@ def windowed_factor(events: DataFrame, semiring: Semiring, variables: Sequence[s
     sums = [x.cast(t).alias(p) for x, t, p in zip(semiring.add(payload), semiring.types, semiring.payload)]
     grouped = timed.groupBy(F.window(time, window).alias("_window"), *variables).agg(*sums)
     return grouped.select(F.col("_window.start").alias("window_start"), *variables, *semiring.payload)
+
+
+def run(stream: DataFrame, path: str) -> DataFrame:
+    """What a factor over a stream comes to once all that the source has now is read; its batches are written under ``path``.
+
+    Each batch writes the whole factor as it is then, under the batch's number, so that one that is repeated after a failure
+    replaces its own output only. A later call with the same ``path`` goes on where the last one ended; if the source has nothing
+    new there is no batch, and no rows are returned.
+    """
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/{number}")
+        written.append(number)
+
+    query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").foreachBatch(write).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not written:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batches/{written[-1]}")

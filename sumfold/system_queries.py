@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sumfold.algebra_queries import _LEAST, _read, _scratch, _trade
 from sumfold.functions.semiring import counting, max_product, min_plus
-from sumfold.operators import blocks, dft, paths, regions, relation
+from sumfold.operators import blocks, closed, dft, paths, regions, relation
 from sumfold.operators.bayes import Conditional, probability_table
 from sumfold.operators.graph import Digraph
 from sumfold.operators.factor import Factor
@@ -18,6 +18,7 @@ from sumfold.plans import statistics
 from sumfold.plans.engine import Mode, queries, queries_with_stats, query, solve
 from sumfold.plans.witnesses import witnesses
 from sumfold.sources import net
+from sumfold.streaming import factors as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,6 +154,27 @@ def distances_by_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row").alias("line"), F.col("__value").alias("distance"))
 
 
+@_query(f"WITH {_squared('n', f'SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2', 5)} SELECT a AS row, w AS x FROM n5 WHERE b = 3 AND a IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
+def solution_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A system's solution as assignments: of even and of odd labels, put together and restricted to some regions' nations."""
+    graph = _trade(spark, sf_dir).cheapest_edges()
+    x = paths.to_targets(graph, spark.range(3, 4)).select(F.col("id").alias("row"), F.col("distance").alias("x"))
+    whole = closed.combined_assignments(closed.combined_assignments(closed.empty_assignment(x), x.where("row % 2 = 0")), x.where("row % 2 = 1"))
+    return closed.projected_assignment(whole, _read(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("row")))
+
+
+# streams and files ------------------------------------------------------------------------------
+
+
+@_query("""SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2""")
+def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and kind as a factor over a stream that reads all files there are."""
+    events = spark.readStream.schema(_read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder
+    counted = stream.windowed_factor(events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.lit(1).alias("one")), counting(), ["kind"], "one")
+    found = stream.run(counted, _scratch(spark))
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", F.col("__value").alias("n"))
+
+
 # relations --------------------------------------------------------------------------------------
 
 

@@ -83,3 +83,30 @@ def test_solutions_come_with_measures(spark):
     run = solve_with_stats(paths._systems([Digraph.of(graph.edges.where(c)) for c in ("src < 4", "src >= 4")], 0))
     assert {r["row"]: r["__value"] for r in run.answers[0].collect()} == dict(enumerate(DISTANCES))
     assert run.combines > 0 and run.forest.valuations == [2]
+
+
+def test_a_stream_is_read_to_its_end(spark, tmp_path):
+    from sumfold.streaming import factors as stream
+
+    rows = [(f"2024-01-01 {h:02}:{m:02}:00", k) for h in (3, 4, 9) for m in (0, 59) for k in "ab"]
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "ts string, k string").selectExpr("CAST(ts AS timestamp) AS ts", "k", "1 AS one").write.parquet(f"{tmp_path}/in/{i}")
+    schema = "ts timestamp, k string, one int"
+    counted = lambda path: stream.windowed_factor(spark.readStream.schema(schema).parquet(path), counting(), ["k"], "one")
+    found = stream.run(counted(f"{tmp_path}/in/*"), f"{tmp_path}/out")
+    assert sorted((r["window_start"].hour, r["k"], r["__value"]) for r in found.collect()) == [(h, k, 2) for h in (3, 4, 9) for k in "ab"]
+    # again, from where it was: nothing is read twice
+    assert stream.run(counted(f"{tmp_path}/in/*"), f"{tmp_path}/out").count() == 0
+    (tmp_path / "none").mkdir()
+    assert stream.run(counted(f"{tmp_path}/none"), f"{tmp_path}/out2").count() == 0
+
+
+def test_assignments_are_put_together_and_cut(spark):
+    from sumfold.operators.closed import combined_assignments, empty_assignment, projected_assignment
+
+    x = spark.createDataFrame([(1, 2.0), (2, 3.0), (3, None)], "row bigint, v double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(combined_assignments(empty_assignment(x), x)) == [(1, 2.0), (2, 3.0), (3, None)]
+    assert rows(projected_assignment(x, spark.range(2, 9).selectExpr("id AS row"))) == [(2, 3.0), (3, None)]
+    with pytest.raises(Exception, match="two values of 1"):
+        combined_assignments(x, x.where("row = 1")).collect()
