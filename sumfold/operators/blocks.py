@@ -93,21 +93,21 @@ class BlockMatrix:
 
     def _round(self, blocks: DataFrame, k: int, first: int) -> DataFrame:
         d, size = self.dense, self.size
-        # one block
-        pivot = d.closure(d.read(blocks.where((F.col("bi") == k) & (F.col("bj") == k)).select("cells").first()[0], size))
+        wide, column = blocks.where(F.col("bj") >= first), blocks.where(F.col("bj") == k)
+        sent = self.cols * size * size * np.dtype(d.dtype).itemsize <= self.panel
+        # a column of blocks of a checked size, or one block
+        sides = {r["bi"]: bytes(r["cells"]) for r in (column if sent else column.where(F.col("bi") == k)).select("bi", "cells").collect()}
+        pivot = d.closure(d.read(sides.pop(k), size))
 
         def row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = [d.multiply(pivot, d.read(x, size)).tobytes() for x in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["bi", "bj", "cells"])
 
-        wide = blocks.where(F.col("bj") >= first)
-        top = wide.where(F.col("bi") == k).mapInArrow(row, _BLOCK)
-        side = blocks.where((F.col("bj") == k) & (F.col("bi") != k)).select("bi", F.col("cells").alias("side"))
-        rest = wide.where(F.col("bi") != k)
-        if self.cols * size * size * np.dtype(d.dtype).itemsize <= self.panel:
-            return self._sent(rest, top, side, k)
-        top = settled(top)
+        top, rest = wide.where(F.col("bi") == k).mapInArrow(row, _BLOCK), wide.where(F.col("bi") != k)
+        if sent:
+            return self._sent(rest, top, sides, k)
+        top, side = settled(top), column.where(F.col("bi") != k).select("bi", F.col("cells").alias("side"))
         both = rest.join(side, "bi").join(top.select("bj", F.col("cells").alias("top")), "bj").select("bi", "bj", "cells", "side", "top")
 
         def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +118,11 @@ class BlockMatrix:
 
         return both.mapInArrow(update, _BLOCK).unionByName(top)
 
-    def _sent(self, rest: DataFrame, top: DataFrame, side: DataFrame, k: int) -> DataFrame:
+    def _sent(self, rest: DataFrame, top: DataFrame, sides: dict[int, bytes], k: int) -> DataFrame:
         """The round with the pivot's row and column of blocks, of a checked size, in every task."""
-        d, size, context = self.dense, self.size, rest.sparkSession.sparkContext
+        d, size = self.dense, self.size
         tops = {r["bj"]: bytes(r["cells"]) for r in top.collect()}
-        panels = context.broadcast((tops, {r["bi"]: bytes(r["side"]) for r in side.collect()}))
+        panels = rest.sparkSession.sparkContext.broadcast((tops, sides))
 
         def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tops, sides = panels.value
@@ -182,6 +182,7 @@ def star(cells: DataFrame, semiring: Semiring, labels: DataFrame | None = None,
 
     ``labels`` has a column ``label``; by default they are those of the cells. Null labels are left out.
     """
+    cells = settled(cells)
     if labels is None:
         labels = cells.select(F.col("row").alias("label")).union(cells.select("col"))
     numbers, count = _numbered(labels)
@@ -194,6 +195,7 @@ def solution(cells: DataFrame, right: DataFrame, semiring: Semiring, size: int =
 
     ``right`` has the cells (row, col, payload) of B; its rows are labels of M, its columns are labels of their own.
     """
+    cells, right = settled(cells), settled(right)
     numbers, count = _numbered(cells.select(F.col("row").alias("label")).union(cells.select("col")).union(right.select("row")))
     cols, width = _numbered(right.select(F.col("col").alias("label")))
     both = _placed(cells, semiring, numbers, numbers).unionByName(_placed(right, semiring, numbers, cols, count))

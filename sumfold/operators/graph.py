@@ -70,10 +70,14 @@ class Digraph:
     def is_undirected(self) -> bool:
         return self.asymmetric_edges().isEmpty()
 
-    def neighbours(self) -> DataFrame:
-        """(id, neighbours): ends of edges either way, sorted, without the vertex itself."""
+    def neighbour_pairs(self) -> DataFrame:
+        """(id, neighbour): ends of edges either way, each pair once, without the vertex itself; for vertices of any number of neighbours."""
         both = self.edges.select("src", "dst").union(self.edges.select("dst", "src")).where("src <> dst")
-        return both.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("neighbours"))
+        return both.select(F.col("src").alias("id"), F.col("dst").alias("neighbour")).distinct()
+
+    def neighbours(self) -> DataFrame:
+        """(id, neighbours): the same, a sorted list by vertex, which one row must hold."""
+        return self.neighbour_pairs().groupBy("id").agg(F.sort_array(F.collect_list("neighbour")).alias("neighbours"))
 
     def adjacency(self) -> DataFrame:
         """(id, arcs): outgoing edges as (dst, weight), sorted; vertices without any have none."""

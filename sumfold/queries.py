@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumfold import algebra_queries, system_queries
+from sumfold.algebra_queries import _TRADE, _flags, _read, _trade
 from sumfold.functions.semiring import boolean, counting, max_product, min_plus, sum_product
 from sumfold.operators import dft, paths
 from sumfold.operators.factor import Factor
@@ -19,10 +20,6 @@ from sumfold.plans.statistics import rows_of
 MONEY = sum_product("decimal(38,4)")
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _rows(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, int]:
     """Rows of tables, from their footers."""
     return rows_of(spark, {name: _read(spark, sf_dir, name) for name in names})
@@ -123,19 +120,14 @@ def evidence_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(query(star(spark, sf_dir), ["nation"], evidence={"region": "ASIA", "segment": "BUILDING"}), "revenue")
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> Factor:
-    df = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"))
-    return Factor.of(df, counting(), ["flag", "status"], [F.lit(1)])
-
-
 def bn_joint_flag_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joint = _counts(spark, sf_dir)
+    joint = _flags(spark, sf_dir)
     total = joint.project(()).df.select(F.col("__value").alias("total"))
     return joint.df.crossJoin(F.broadcast(total)).select("flag", "status", F.round(F.col("__value") / F.col("total"), 8).alias("p"))  # one row
 
 
 def bn_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joint = _counts(spark, sf_dir)
+    joint = _flags(spark, sf_dir)
     given = joint.project(["flag"]).df.withColumnRenamed("__value", "total")
     return joint.df.join(given, "flag").select("flag", "status", F.round(F.col("__value") / F.col("total"), 8).alias("p"))
 
@@ -181,28 +173,16 @@ def all_pairs_distance_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.quasi_inverse(spark).df.select(F.col("row").alias("src"), F.col("col").alias("dst"), F.col("__value").alias("distance"))
 
 
-def _customer_graph(spark: SparkSession, sf_dir: str) -> Digraph:
-    """Customer's nation to supplier's nation for each line, weighted by quantity."""
-    lines, orders = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "orders")
-    customer, supplier = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "supplier")
-    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return Digraph.of(df.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"), F.col("l_quantity").alias("weight")))
-
-
-_EDGES_SQL = """(SELECT c_nationkey AS src, s_nationkey AS dst, l_quantity AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
-
-
 def graph_flip_min_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customer_graph(spark, sf_dir).flipped().cheapest_edges().edges
+    return _trade(spark, sf_dir).flipped().cheapest_edges().edges
 
 
 def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customer_graph(spark, sf_dir).neighbours().select("id", F.size("neighbours").cast("bigint").alias("n"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("ids"))
+    return _trade(spark, sf_dir).neighbours().select("id", F.size("neighbours").cast("bigint").alias("n"), F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def graph_asymmetric_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customer_graph(spark, sf_dir).cheapest_edges().asymmetric_edges()
+    return _trade(spark, sf_dir).cheapest_edges().asymmetric_edges()
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,10 +324,10 @@ SELECT row, col, CAST(sum(a.n * b.n) AS BIGINT) AS n FROM a JOIN b USING (k) GRO
 UNION SELECT e.src, w.d + e.weight FROM w JOIN e ON e.dst = w.id WHERE w.d < 60) SELECT id, min(d) AS distance FROM w GROUP BY 1""",
     "all_pairs_distance_nations": f"""WITH RECURSIVE {_NATION_SQL}, w AS (SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst, CAST(0 AS DOUBLE) AS d FROM nation
 UNION SELECT e.src, w.dst, w.d + e.weight FROM w JOIN e ON e.dst = w.src WHERE w.d < 60) SELECT src, dst, min(d) AS distance FROM w GROUP BY 1, 2""",
-    "graph_flip_min_edges": f"SELECT dst AS src, src AS dst, min(weight) AS weight FROM {_EDGES_SQL} GROUP BY 1, 2",
+    "graph_flip_min_edges": f"SELECT dst AS src, src AS dst, min(weight) AS weight FROM {_TRADE} GROUP BY 1, 2",
     "graph_neighbours": f"""SELECT src AS id, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS ids
-FROM (SELECT src, dst FROM {_EDGES_SQL} WHERE src <> dst UNION SELECT dst, src FROM {_EDGES_SQL} WHERE src <> dst) GROUP BY 1""",
-    "graph_asymmetric_edges": f"""WITH m AS (SELECT src, dst, min(weight) AS weight FROM {_EDGES_SQL} GROUP BY 1, 2)
+FROM (SELECT src, dst FROM {_TRADE} WHERE src <> dst UNION SELECT dst, src FROM {_TRADE} WHERE src <> dst) GROUP BY 1""",
+    "graph_asymmetric_edges": f"""WITH m AS (SELECT src, dst, min(weight) AS weight FROM {_TRADE} GROUP BY 1, 2)
 SELECT src, dst, weight FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS o WHERE o.src = m.dst AND o.dst = m.src AND o.weight = m.weight)""",
     "dft_events": """WITH s AS (SELECT event_id % 64 AS n, CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) AS v FROM events GROUP BY 1)
 SELECT CAST(k AS BIGINT) AS i, round(sum(v * cos(-2 * pi() * n * k / 64)), 4) + 0.0::DOUBLE AS re, round(sum(v * sin(-2 * pi() * n * k / 64)), 4) + 0.0::DOUBLE AS im

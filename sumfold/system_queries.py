@@ -71,7 +71,11 @@ def distances_of_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("reached"), F.sum("distance").alias("total"), F.max("distance").alias("farthest"))
 
 
-@_query(f"WITH {_squared('n', f'SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2', 5)} SELECT a AS id, b AS target, w AS distance FROM n5 WHERE b IN (SELECT dst FROM {_LEAST})")
+#: CTEs of shortest ways between nations, n5 (a, b, w) the last of them.
+_NATION_WAYS = _squared("n", f"SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2", 5)
+
+
+@_query(f"WITH {_NATION_WAYS} SELECT a AS id, b AS target, w AS distance FROM n5 WHERE b IN (SELECT dst FROM {_LEAST})")
 def nation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nations that supply as targets of one elimination."""
     graph = _trade(spark, sf_dir).cheapest_edges()
@@ -154,7 +158,7 @@ def distances_by_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row").alias("line"), F.col("__value").alias("distance"))
 
 
-@_query(f"WITH {_squared('n', f'SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2', 5)} SELECT a AS row, w AS x FROM n5 WHERE b = 3 AND a IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
+@_query(f"WITH {_NATION_WAYS} SELECT a AS row, w AS x FROM n5 WHERE b = 3 AND a IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
 def solution_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A system's solution as assignments: of even and of odd labels, put together and restricted to some regions' nations."""
     graph = _trade(spark, sf_dir).cheapest_edges()
@@ -217,7 +221,7 @@ def messages_of_many_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@_query(f"WITH {_squared('n', f'SELECT a, b, min(w) AS w FROM (SELECT src AS a, dst AS b, weight AS w FROM {_LEAST} UNION ALL SELECT src, src, 0 FROM {_LEAST} UNION ALL SELECT dst, dst, 0 FROM {_LEAST}) GROUP BY 1, 2', 5)} SELECT a AS id, w AS distance FROM n5 WHERE b = 7")
+@_query(f"WITH {_NATION_WAYS} SELECT a AS id, w AS distance FROM n5 WHERE b = 7")
 def distances_by_cliques(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances to one nation, the graph split into the cliques of its triangulation."""
     graphs = paths.clique_decomposition(_trade(spark, sf_dir).cheapest_edges())

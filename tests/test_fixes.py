@@ -92,3 +92,13 @@ def test_distances_over_many_rounds(spark):
 
 def test_every_query_has_its_sql():
     assert set(algebra_queries.ORACLES) == set(algebra_queries.QUERIES)
+
+
+def test_neighbours_as_pairs_and_as_lists(spark):
+    from sumfold.operators.graph import Digraph
+
+    edges = spark.createDataFrame([(0, i, 1.0) for i in range(5)] + [(3, 0, 2.0), (4, 3, 1.0), (4, 3, 2.0)], "src bigint, dst bigint, weight double")
+    graph = Digraph.of(edges)
+    pairs = sorted(map(tuple, graph.neighbour_pairs().collect()))
+    assert pairs == [(0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (2, 0), (3, 0), (3, 4), (4, 0), (4, 3)]
+    assert {r["id"]: r["neighbours"] for r in graph.neighbours().collect()} == {0: [1, 2, 3, 4], 1: [0], 2: [0], 3: [0, 4], 4: [0, 3]}
